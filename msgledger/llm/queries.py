@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from msgledger.llm import exact, minhash
+from msgledger.llm import bpe, exact, minhash, toxicity
 from msgledger.llm.oracles import SQL
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def encoded_and_decoded(docs: DataFrame) -> DataFrame:
+    """Digests of each document's ids and of the text decoded from them."""
+    tokenizer = bpe.read_tokenizer(public_tokenizers.path(TOKENIZER))
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    encoded = bpe.encode(docs, tokenizer).select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"))
+    return bpe.decode(encoded, tokenizer).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_decoded(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,6 +40,6 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op5_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe_encoding_decoding, op3_toxicity, op4_exact_dedup, op5_minhash_near_dedup)}
 
 __all__ = ["QUERIES", "SQL"]
