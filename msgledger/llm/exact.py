@@ -35,10 +35,11 @@ RUN = "digest binary, n_bytes bigint, check bigint, null_id boolean, doc_id bigi
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge sorted entries: of those with equal keys the first (smallest identifier) stays, with the sum of counts."""
     held: pa.RecordBatch | None = None
+    names = [f.split()[0] for f in RUN.split(", ")]
     for b in batches:
         if not b.num_rows:
             continue
-        b = b.select([f.split()[0] for f in RUN.split(", ")])
+        b = pa.record_batch(b.columns, names=names)  # without "not null", which differs from batch to batch
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
         new = np.ones(b.num_rows, bool)
