@@ -8,17 +8,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgledger.llm.common import map_arrow, text_or_empty, written
+from msgledger.llm.common import map_arrow, shuffle_parts, text_or_empty, written
+
+#: Words of the distinct-word table that are broadcast, and the bytes and ids one of them may have: 48 MB at most.
+HEAD_WORDS, HEAD_BYTES, HEAD_IDS = 400_000, 40, 20
+#: Distinct words that a task counts before it passes on those it has met FREQUENT times.
+COUNTED, FREQUENT = 300_000, 3
+#: Documents whose word numbers are packed together.
+CHUNK = 128
 
-#: Words of the distinct-word table that are broadcast, and the bytes and ids one of them may have: 96 MB at most before packing.
-HEAD_WORDS, HEAD_BYTES, HEAD_IDS = 800_000, 40, 20
-#: Distinct words that a task counts before it passes the counts on.
-COUNTED = 400_000
 
 def read_tokenizer(path: str) -> str:
     """The tokenizer's JSON, read on the driver only; a vocabulary's size doesn't depend on the data."""
@@ -56,17 +60,15 @@ def _words(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def word_table(docs: DataFrame, tokenizer: Broadcast) -> DataFrame:
-    """``(word, n, ids)``: each distinct word of all texts once, with its count and its ids as 32-bit integers.
-
-    Words are split and counted in each task first, so that a frequent word is one row for each task and flush.
-    """
+def frequent_words(docs: DataFrame) -> DataFrame:
+    """``(word, n)``: words that some task met often, with how often such tasks met them; counted in tasks before any shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+            often = [(w, n) for w, n in c.items() if n >= FREQUENT]
+            return pa.record_batch([pa.array([w for w, _ in often], pa.binary()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
 
         for b in batches:
             for text in b.column(0):
@@ -74,36 +76,35 @@ def word_table(docs: DataFrame, tokenizer: Broadcast) -> DataFrame:
                 if len(c) >= COUNTED:
                     yield flush()
                     c.clear()
-        if c:
-            yield flush()
+        yield flush()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer.value.get()
-        for b in batches:
-            words = b.column(0).to_pylist()
-            ids = []
-            for lo in range(0, len(words), 1000):
-                got = t.encode_batch_fast([w.decode() for w in words[lo : lo + 1000]], add_special_tokens=False)
-                ids += [np.array(e.ids, np.int32).tobytes() for e in got]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
-
-    counted = map_arrow(docs.select(text_or_empty().alias("text")), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return map_arrow(counted, encode, "word binary, n bigint, ids binary")
-
-
-def _head(words: DataFrame) -> tuple[pa.Table, object]:
-    """The most frequent words, HEAD_WORDS at most, in order of frequency; the condition that they fulfil."""
-    level = F.floor(F.log2("n") * 16)
-    short = (F.octet_length("word") <= HEAD_BYTES) & (F.octet_length("ids") <= 4 * HEAD_IDS)
-    counts = sorted(((r[0], r[1]) for r in words.where(short).groupBy(level.alias("level")).count().collect()), reverse=True)  # 16 rows for each doubling of n
+    return map_arrow(docs.select(text_or_empty().alias("text")), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _encode(t, words: list[bytes]) -> list[np.ndarray]:
+    out = []
+    for lo in range(0, len(words), 1000):
+        out += [np.array(e.ids, np.int32) for e in t.encode_batch_fast([w.decode() for w in words[lo : lo + 1000]], add_special_tokens=False)]
+    return out
+
+
+def head_table(docs: DataFrame, tokenizer: Broadcast) -> pa.Table:
+    """``(word, ids)`` of frequent words, HEAD_WORDS at most, each encoded once, in order of frequency."""
+    words = written(frequent_words(docs).where(F.octet_length("word") <= HEAD_BYTES).withColumn("level", F.floor(F.log2("n") * 16)), "frequent")
+    counts = sorted(((r[0], r[1]) for r in words.groupBy("level").count().collect()), reverse=True)  # 16 rows for each doubling of n
     total, least = 0, None
     for lv, n in counts:
         if total + n > HEAD_WORDS:
             break
         total, least = total + n, lv
-    chosen = short & (level >= least) if least is not None else F.lit(False)
-    got = words.where(chosen).select("word", "n", "ids").toArrow()
-    return got.sort_by([("n", "descending")]), chosen
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = _encode(tokenizer.value.get(), b.column(0).to_pylist())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() if len(x) <= HEAD_IDS else None for x in ids], pa.binary())], names=["word", "n", "ids"])
+
+    chosen = words.where(F.col("level") >= least) if least is not None else words.limit(0)
+    return map_arrow(chosen.select("word", "n"), encode, "word binary, n bigint, ids binary").where("ids IS NOT NULL").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
 
 
 class _Head:
@@ -124,100 +125,121 @@ def _packed(t: pa.Table) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
 def encode(docs: DataFrame, tokenizer_json: str) -> DataFrame:
     """``(doc_id, ids array<int>)`` for each row: the ids of the whole text without special tokens added.
 
-    For tokenizers that drop white space. Each distinct word is encoded once. Ids come back by position: those
-    of the HEAD_WORDS most frequent words by a broadcast join on each task's side, as their bytes are
-    bounded; all others by a join of (document, position, word) with the word table. Between, a
-    document is its packed word numbers.
+    For tokenizers that drop white space. Each distinct word is encoded once: frequent ones for a broadcast
+    table of bounded size, joined on each task's side; each other one in the task that all its
+    places are sent to, from where its ids come back by position. Chunks of documents are packed: their
+    words' numbers go to where the rare words' ids meet them.
 
     A null text counts as empty and has no ids; special tokens' strings in a text are those tokens, as in
-    the library. Null and repeated doc_ids are kept, row by row. Columns besides doc_id and text are not read.
+    the library. Null and repeated doc_ids are kept, row by row; an empty table gives no rows. Columns besides
+    doc_id and text are not read. ``docs`` is read three times and must give each time the same partitions,
+    as a table does; otherwise it fails.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", text_or_empty()).alias("h"), text_or_empty().alias("text"))
-    words = written(word_table(docs, sc.broadcast(Lazy(_tokenizer, tokenizer_json))), "words")
-    table, chosen = _head(words)
-    head = sc.broadcast(Lazy(_Head, _packed(table)))
-    del table
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    tokenizer = sc.broadcast(Lazy(_tokenizer, tokenizer_json))
+    head = sc.broadcast(Lazy(_Head, _packed(head_table(docs, tokenizer))))
+    parts = shuffle_parts(spark)
 
-    def numbered(texts: pa.Array, known: _Head) -> Iterator[tuple[list[int], list[bytes]]]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[int], list[int], list[bytes]]]:
+        """Number, doc_ids, words of each document, numbers of all words, and rare words: numbers from ``n`` on are theirs."""
+        known = head.value.get()
         get, n = known.index.get, known.n
-        for text in texts:
-            ws = _words(text.as_py())
-            at = [get(w, -1) for w in ws]
-            rest: dict[bytes, int] = {}
-            if -1 in at:
-                for i, x in enumerate(at):
-                    if x < 0:
-                        at[i] = n + rest.setdefault(ws[i], len(rest))
-            yield at, list(rest)
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for lo in range(0, b.num_rows, CHUNK):
+                at: list[int] = []
+                sizes = []
+                rest: dict[bytes, int] = {}
+                for text in b.column(1).slice(lo, CHUNK):
+                    ws = _words(text.as_py())
+                    own = [get(w, -1) for w in ws]
+                    if -1 in own:
+                        own = [x if x >= 0 else n + rest.setdefault(w, len(rest)) for x, w in zip(own, ws, strict=True)]
+                    at += own
+                    sizes.append(len(own))
+                yield number, b.column(0).slice(lo, CHUNK), sizes, at, list(rest)
+                number += 1
+
+    def check(rest: list[bytes]) -> int:
+        return xxhash.xxh3_64_intdigest(b" ".join(rest)) >> 1
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value.get()
+        z = zstandard.ZstdCompressor(level=1)
+        for number, _, _, _, rest in chunks(batches):
+            of = np.fromiter((xxhash.xxh3_64_intdigest(w, 7) % parts for w in rest), np.int64, len(rest))
+            order = np.argsort(of, kind="stable").astype(np.int32)
+            cuts = np.flatnonzero(np.diff(of[order])) + 1
+            groups = np.split(order, cuts) if len(rest) else []
+            words = [z.compress(b" ".join([rest[i] for i in g.tolist()])) for g in groups]
+            k = len(groups)
+            yield pa.record_batch(
+                [pa.array([int(of[g[0]]) for g in groups], pa.int32()), pa.array([number] * k, pa.int64()), pa.array([check(rest)] * k, pa.int64()), pa.array([g.tobytes() for g in groups], pa.binary()), pa.array(words, pa.binary())],
+                names=["part", "number", "rest", "pos", "words"],
+            )
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer.value.get()
+        z, back = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        known: dict[bytes, np.ndarray] = {}
         for b in batches:
-            who, pos, word = [], [], []
-            for i, (_, rest) in enumerate(numbered(b.column(2), known)):
-                who += [i] * len(rest)
-                pos += range(len(rest))
-                word += rest
-            at = pa.array(who, pa.int64())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(word, pa.binary())], names=["doc_id", "h", "pos", "word"])
+            lists = [z.decompress(x).split(b" ") for x in b.column(4).to_pylist()]
+            new = list({w for ws in lists for w in ws if w not in known})
+            known.update(zip(new, _encode(t, new), strict=True))
+            sizes, ids = [], []
+            for ws in lists:
+                own = [known[w] for w in ws]
+                sizes.append(np.array([len(x) for x in own], np.int32).tobytes())
+                ids.append(back.compress(np.concatenate(own).astype(np.int32).tobytes()))
+            yield pa.record_batch([b.column(1), b.column(2), b.column(3), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["number", "rest", "pos", "sizes", "ids"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value.get()
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            # byte planes of the word numbers, as the higher ones are nearly constant
-            out = [z.compress(np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for at, _ in numbered(b.column(2), known)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "h", "packed"])
+        for number, doc_ids, sizes, at, rest in chunks(batches):
+            # byte planes of the words' numbers, as the higher ones are nearly constant
+            planes = np.array(at, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            yield pa.record_batch(
+                [pa.array([number], pa.int64()), pa.array([check(rest)], pa.int64()), pa.array([len(rest)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), pa.array([sizes], pa.list_(pa.int32())), pa.array([z.compress(planes)], pa.binary())],
+                names=["p_number", "p_rest", "n_rest", "doc_ids", "n_words", "packed"],
+            )
 
     def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.get()
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = b.column(2)
-            for lo in range(0, b.num_rows, 256):
-                ids, ends = [], [0]
-                for raw, rest in zip(b.column(1).slice(lo, 256).to_pylist(), rows.slice(lo, 256).to_pylist(), strict=True):
-                    at = np.frombuffer(z.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-                    got = _join(at, known, rest)
-                    ids.append(got)
-                    ends.append(ends[-1] + len(got))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.record_batch([b.column(0).slice(lo, 256), lists], names=["doc_id", "ids"])
-
-    found = map_arrow(base, rare, "doc_id bigint, h bigint, pos int, word binary").join(words.where(~chosen).select("word", "ids"), "word")
-    found = found.groupBy(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h")).agg(F.collect_set(F.struct("pos", "ids")).alias("rest"))
-    whole = map_arrow(base, packed, "doc_id bigint, h bigint, packed binary")
-    both = whole.join(found, (F.col("h") == F.col("r_h")) & F.col("doc_id").eqNullSafe(F.col("r_id")), "left").select("doc_id", "packed", "rest")
+            for r in range(b.num_rows):
+                n_rest, n_words, raw, rest = (b.column(i)[r].as_py() for i in (0, 2, 3, 4))
+                at = np.frombuffer(z.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+                ids, lengths = _join(at, known, n_rest, rest or [], z)
+                word_ends = np.concatenate(([0], np.cumsum(lengths)))
+                ends = word_ends[np.concatenate(([0], np.cumsum(n_words)))]
+                yield pa.record_batch([b.column(1)[r].values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+
+    found = map_arrow(base, rare, "part int, number bigint, rest bigint, pos binary, words binary").repartitionById(parts, "part")
+    found = map_arrow(found, encoded, "number bigint, rest bigint, pos binary, sizes binary, ids binary")
+    found = found.groupBy("number", "rest").agg(F.collect_list(F.struct("pos", "sizes", "ids")).alias("found"))  # as many as partitions at most
+    whole = map_arrow(base, packed, "p_number bigint, p_rest bigint, n_rest int, doc_ids array<bigint>, n_words array<int>, packed binary")
+    both = whole.join(found, (F.col("number") == F.col("p_number")) & (F.col("rest") == F.col("p_rest")), "left").select("n_rest", "doc_ids", "n_words", "packed", "found")
     return map_arrow(both, resolved, "doc_id bigint, ids array<int>")
 
 
-def _join(at: np.ndarray, known: _Head, rest: list[dict] | None) -> np.ndarray:
-    """The ids of the numbered words: numbers below ``known.n`` are of the broadcast words, others of ``rest`` by position."""
-    starts, flat = known.starts, known.ids
-    if rest:
-        own = [np.frombuffer(r["ids"], np.int32) for r in sorted(rest, key=lambda r: r["pos"])]
-        if [r["pos"] for r in sorted(rest, key=lambda r: r["pos"])] != list(range(len(own))):
-            raise ValueError("the rare words' positions don't fit their document")
-        in_head = at < known.n
-        lengths = np.array([len(x) for x in own], np.int64)
-        n = np.empty(len(at), np.int64)
-        n[in_head] = starts[at[in_head] + 1] - starts[at[in_head]]
-        n[~in_head] = lengths[at[~in_head] - known.n]
-        begin = np.empty(len(at), np.int64)
-        begin[in_head] = starts[at[in_head]]
-        begin[~in_head] = (np.cumsum(lengths) - lengths)[at[~in_head] - known.n]
-        take = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        of_head = np.repeat(in_head, n)
-        out = np.empty(len(take), np.int32)
-        out[of_head] = flat[take[of_head]]
-        out[~of_head] = np.concatenate(own)[take[~of_head]]
-        return out
-    if len(at) and int(at.max()) >= known.n:
-        raise ValueError("a document's rare words are missing")
-    n = starts[at + 1] - starts[at]
-    return flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+def _join(at: np.ndarray, known: _Head, n_rest: int, rest: list[dict], z: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the numbered words, and how many each has: numbers below ``known.n`` are of the broadcast words, others of ``rest`` by position."""
+    if sum(len(r["pos"]) // 4 for r in rest) != n_rest:
+        raise ValueError("a chunk's rare words are missing: its documents were read in another order")
+    begin = np.concatenate((known.starts[:-1], np.zeros(n_rest, np.int64)))
+    n = np.concatenate((np.diff(known.starts), np.zeros(n_rest, np.int64)))
+    flat, end = [known.ids], len(known.ids)
+    for r in rest:
+        pos = np.frombuffer(r["pos"], np.int32) + known.n
+        n[pos] = np.frombuffer(r["sizes"], np.int32)
+        begin[pos] = end + np.cumsum(n[pos]) - n[pos]
+        flat.append(np.frombuffer(z.decompress(r["ids"]), np.int32))
+        end += len(flat[-1])
+    flat = np.concatenate(flat)
+    lengths = n[at]
+    return flat[np.repeat(begin[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))], lengths
 
 
 def pieces(tokenizer_json: str) -> list[str]:
