@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgledger.llm import bpe, exact, minhash, mixing, quality, secrets, topk, toxicity, urls
+from msgledger.llm import bpe, exact, minhash, mixing, paragraphs, quality, secrets, topk, toxicity, urls
 from msgledger.llm.oracles import SQL
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,10 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES = {
         op7_quality,
         op8_secret_scans,
         op9_exact_topk,
+        op10_substring_dedup,
     )
 }
 
