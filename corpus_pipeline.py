@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from msgledger.llm import exact, minhash
+from msgledger.llm import bpe, exact, minhash, mixing, toxicity
 from msgledger.llm.common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from the labelled documents outside the held-out fold."""
+    return toxicity.keep_ordinary(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
@@ -22,9 +31,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_near(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its Poisson draw says, in a global order by a hash."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, their number, and digests of them and of the text decoded from them."""
+    tokenizer = bpe.read_tokenizer(public_tokenizers.path(TOKENIZER))
+    text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    encoded = bpe.encode(docs, tokenizer).select("doc_id", "ids", F.col("ids").alias("token_ids"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"))
+    return bpe.decode(encoded, tokenizer).select("doc_id", "token_ids", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe", tokenize),
+]
 
-#: Trained models and hash-keyed sampling are not for SQL: see tests/llm/test_pipeline.py.
+#: Trained models are not for SQL: see tests/llm/test_pipeline.py.
 ORACLE_SQL: str | None = None
 
 
