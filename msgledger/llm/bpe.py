@@ -110,7 +110,7 @@ def head_table(docs: DataFrame, tokenizer: Broadcast) -> pa.Table:
 class _Head:
     def __init__(self, value: tuple[bytes, np.ndarray, bytes, np.ndarray]):
         text, ends, ids, id_ends = value
-        starts = np.concatenate(([0], ends[:-1]))
+        starts = np.concatenate(([0], ends))[:-1]
         self.index = {text[lo:hi]: i for i, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))}
         self.n = len(ends)
         self.ids = np.frombuffer(ids, np.int32)
