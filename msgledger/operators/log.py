@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from msgledger import schema as S
 from msgledger.functions import codec
@@ -58,8 +63,7 @@ def with_offsets(lines: DataFrame, order: str = "seq", base: int = S.FIRST_OFFSE
         w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return sized.withColumn("offset", F.coalesce(F.sum("_bytes").over(w), F.lit(0)) + F.lit(base)).drop("_bytes")
     cuts = lines.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    splits = F.lit(sorted(set(cuts)))
-    cut = sized.withColumn("_bucket", F.size(F.filter(splits, lambda x: x < F.col(order))))
+    cut = _bucketed(sized, order, np.array(sorted(set(cuts))))
     totals = cut.groupBy("_bucket").agg(F.sum("_bytes").alias("_total"))
     before = F.coalesce(F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select(F.col("_bucket").alias("_b"), before.alias("_start"))
@@ -69,6 +73,21 @@ def with_offsets(lines: DataFrame, order: str = "seq", base: int = S.FIRST_OFFSE
     return placed.withColumn("offset", F.col("_start") + F.col("_own") + F.lit(base)).drop("_bytes", "_bucket", "_own", "_b", "_start")
 
 
+def _bucketed(rows: DataFrame, order: str, cuts: np.ndarray) -> DataFrame:
+    """``rows`` with ``_bucket``: how many of the cuts are smaller, by binary search.
+
+    A higher-order function over an array of the cuts would do, but Catalyst infers filters from it that
+    refer to columns of the join's other side.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(cuts, b.column(b.schema.get_field_index(order)).to_numpy(zero_copy_only=False))
+            yield b.append_column("_bucket", pa.array(at, pa.int64()))
+
+    return rows.mapInArrow(find, T.StructType([*rows.schema.fields, T.StructField("_bucket", T.LongType())]))
+
+
 def totals(lines: DataFrame) -> DataFrame:
     """Lines and bytes that the log holds after its header."""
     return lines.agg(F.count("*").alias("lines"), F.coalesce(F.sum(codec.line_bytes(F.col("line"))), F.lit(0)).alias("bytes"))

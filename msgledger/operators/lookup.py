@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgledger import schema as S
-from msgledger.functions import routing
+from msgledger.functions import codec, routing
 from msgledger.operators import index as ix
-from msgledger.operators import log
 
 
 def request_status(hash_: Column, offset: Column) -> Column:
@@ -33,11 +32,9 @@ def verified(requests: DataFrame, index: DataFrame, lines: DataFrame, width: int
     ``requests(seq, hash)`` with distinct seq. A hit under the key alone is no duplicate. A single candidate whose line
     is there but can't be read is answered retry; among several, such a one is skipped.
     """
-    found = log.hash_at(lines, candidates(requests, index, width))
-    there = found.join(lines.select(F.col("offset").alias("_there")), F.col("offset") == F.col("_there"), "left")
-    per = there.groupBy("seq").agg(
-        F.max((F.col("logged_hash") == F.col("hash")).cast("int")).alias("_hit"), F.count("*").alias("_n"), F.max((F.col("_there").isNotNull() & F.col("logged_hash").isNull()).cast("int")).alias("_unreadable")
-    )
+    read = lines.select(F.col("offset").alias("_at"), codec.line_hash(F.col("line")).alias("_logged"), codec.line_is_bad(F.col("line")).alias("_bad"))
+    found = candidates(requests, index, width).join(read, F.col("offset") == F.col("_at"), "left")
+    per = found.groupBy("seq").agg(F.max((F.col("_logged") == F.col("hash")).cast("int")).alias("_hit"), F.count("*").alias("_n"), F.max(F.coalesce("_bad", F.lit(False)).cast("int")).alias("_unreadable"))
     answer = F.when(F.col("_hit") == 1, S.DUPES).when((F.col("_n") == 1) & (F.col("_unreadable") == 1), S.RETRY).otherwise(S.PASS)
     return requests.join(per.withColumnRenamed("seq", "_seq"), F.col("seq") == F.col("_seq"), "left").select("seq", "hash", answer.alias("status"))
 
