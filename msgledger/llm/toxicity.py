@@ -31,6 +31,8 @@ STRICT = 25.0
 SHARE = 0.015
 #: Windows begin with this; both dictionaries hold it, so that zstandard never stores a window as it is.
 LEAD = bytes(range(128, 192))
+#: Stands between segments, so that no match goes over two.
+APART = b"\xfe"
 
 
 def _words(text: str) -> list[bytes]:
@@ -41,7 +43,7 @@ def _stems(text: str) -> set[bytes]:
     out = set()
     for w in set(_words(text)):
         out.update([b" " + w[:k] for k in STEMS if k < len(w)])
-        out.add(b" " + w + b" ")
+        out.add(b" " + w)
     return out
 
 
@@ -53,11 +55,11 @@ def _dictionaries(parts: list[list[bytes]], shared: list[bytes]) -> list[bytes]:
         for s in p:
             if size + len(s) > DICTIONARY // 2:
                 break
-            out.append(s)
-            size += len(s)
+            out.append(APART + s)
+            size += len(s) + 1
         typical.append(b"".join(reversed(out)))
     longest = max(map(len, typical))
-    front = b"".join(shared)[: DICTIONARY // 2]
+    front = APART.join(shared)[: DICTIONARY // 2]
     return [front + b"\xff" * (longest - len(t)) + t + LEAD for t in typical]
 
 
@@ -78,7 +80,7 @@ def _longest(scored: list[tuple[float, bytes]], most: int) -> list[bytes]:
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, bytes]:
     """Contents of the dictionaries: word beginnings typical of one label, after those frequent in both.
 
-    The third is the toxic one with only those that ordinary text hardly has.
+    The third has only those typical of toxic text that ordinary text hardly has, and nothing frequent.
     """
     df = [Counter(), Counter()]
     for label, texts in enumerate((ordinary, toxic)):
@@ -102,7 +104,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
         elif p[1 - label] * LIFT > p[label]:
             found[2].append((min(p) * len(s), s))
     ordered = [_longest(sorted(f, reverse=True), 250) for f in found]
-    return tuple(_dictionaries([ordered[1], ordered[0], ordered[3]], ordered[2]))
+    return (*_dictionaries([ordered[1], ordered[0]], ordered[2]), _dictionaries([ordered[3]], [])[0])
 
 
 def without_copies(texts: list[str]) -> list[int]:
@@ -128,10 +130,10 @@ class Model:
 
     @cached_property
     def compressors(self) -> tuple:
-        # windows are too short for entropy coding of literals: what a dictionary saves are the matches alone
-        p = zstandard.ZstdCompressionParameters(compression_level=1, window_log=13, hash_log=13, chain_log=13, search_log=5, min_match=5, target_length=1, strategy=zstandard.STRATEGY_DFAST, write_checksum=0, write_content_size=0, write_dict_id=0)
+        # windows are too short for entropy coding of literals: what a dictionary saves are the matches alone, of 5 bytes or more
+        p = zstandard.ZstdCompressionParameters(compression_level=1, window_log=13, hash_log=16, chain_log=16, search_log=5, min_match=5, target_length=1, strategy=zstandard.STRATEGY_GREEDY, write_checksum=0, write_content_size=0, write_dict_id=0)
         out = []
-        for content in (self.ordinary, self.toxic, self.strict):
+        for content in (self.ordinary, self.toxic, self.strict, b"\xff" * (len(self.strict) - len(LEAD)) + LEAD):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
@@ -141,10 +143,10 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "compressors"}
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Of each text, how many bytes its windows save by the toxic dictionaries against the ordinary one."""
+        """Of each text, how many bytes its windows save by the toxic dictionary against the ordinary one, and by the strict one against none."""
         raw = [b" ".join([b"", *_words(t), b""]) for t in texts]
         n = np.array([max(1, -(-(len(r) - OVERLAP) // (WINDOW - OVERLAP))) for r in raw])
-        ordinary, toxic, strict = (c.compress for c in self.compressors)
+        ordinary, toxic, strict, blank = (c.compress for c in self.compressors)
         gain, sure = [], []
         for r, k in zip(raw, n.tolist(), strict=True):
             for lo in range(0, k * (WINDOW - OVERLAP), WINDOW - OVERLAP):
@@ -152,13 +154,13 @@ class Model:
                 plain = len(ordinary(w))
                 g = plain - len(toxic(w))
                 gain.append(g)
-                sure.append(plain - len(strict(w)) if g > 1 else 0)
+                sure.append(len(blank(w)) - len(strict(w)))
         first = np.cumsum(n) - n
         out = [np.log(n)]
         for g in (np.array(gain, float), np.array(sure, float)):
             total = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
             up = total(np.maximum(g, 0))
-            hit, strong = total((g >= 3) * 1.0), total((g >= 5) * 1.0)
+            hit, strong = total((g >= 1) * 1.0), total((g >= 3) * 1.0)
             out += [np.maximum.reduceat(g, first), np.log1p(up), np.sqrt(up / n), np.log1p(hit), np.sqrt(hit / n), np.log1p(strong), np.minimum(strong, 1), np.sqrt(strong / n)]
         return np.stack(out, axis=1)
 
