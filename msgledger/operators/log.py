@@ -14,7 +14,9 @@ from msgledger import schema as S
 from msgledger.functions import codec
 
 #: Records of one bucket of the prefix sum; a bucket is one window's partition.
-BUCKET = 1_000_000
+BUCKET = 250_000
+#: Quantiles that the buckets are cut at; more records make the buckets larger.
+CUTS = 4096
 
 
 def status(hash_: Column, token: Column) -> Column:
@@ -53,17 +55,16 @@ def with_offsets(lines: DataFrame, order: str = "seq", base: int = S.FIRST_OFFSE
     """``lines`` with the byte ``offset`` of each, in the order of a column without repeats.
 
     Two phases instead of one window over all rows: quantiles of the order cut it into buckets of about
-    ``bucket`` records, each bucket sums its own lines, and the buckets' totals (one row each, so a
-    broadcast of count / ``bucket`` rows) give where each begins. Nothing but quantiles reaches the driver.
+    ``bucket`` records, CUTS at most, each bucket sums its own lines, and the buckets' totals, one row each,
+    are added up and broadcast. Nothing but the count and the quantiles reaches the driver.
     """
-    n = lines.count()
     sized = lines.withColumn("_bytes", codec.line_bytes(F.col("line")))
-    parts = max(1, -(-n // bucket))
+    n, cuts = lines.agg(F.count("*"), F.percentile_approx(order, [i / CUTS for i in range(1, CUTS)], 10 * CUTS)).first()
+    parts = max(1, min(CUTS, -(-n // bucket)))
     if parts == 1:
         w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return sized.withColumn("offset", F.coalesce(F.sum("_bytes").over(w), F.lit(0)) + F.lit(base)).drop("_bytes")
-    cuts = lines.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    cut = _bucketed(sized, order, np.array(sorted(set(cuts))))
+    cut = _bucketed(sized, order, np.array(sorted({cuts[i * CUTS // parts - 1] for i in range(1, parts)})))
     totals = cut.groupBy("_bucket").agg(F.sum("_bytes").alias("_total"))
     before = F.coalesce(F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select(F.col("_bucket").alias("_b"), before.alias("_start"))
