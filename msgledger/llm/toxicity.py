@@ -222,14 +222,16 @@ def held_out(folds: int, fold: int):
 def sample(docs: DataFrame, labels: DataFrame, label: str, learnable, most: int = SAMPLE) -> tuple[list[str], np.ndarray, tuple[float, float]]:
     """Texts and labels of ``most`` learnable rows of each label at most, those with the smallest hash of the doc_id, and how many rows each label has.
 
-    Only the sample's texts reach the driver. Rows with a null doc_id, text or label and repeated doc_ids
-    of ``labels`` teach nothing more than once.
+    Only the sample's texts reach the driver, one for each doc_id (the smallest). Rows with a null doc_id, text or
+    label teach nothing; of differing labels of a doc_id the larger counts.
     """
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).where("y IN (0, 1)").where(learnable)
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = own.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).union(own.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().to_pydict()
-    order = sorted(range(len(rows["y"])), key=lambda i: (rows["doc_id"][i], rows["text"][i]))
+    # one text of each doc_id, however often it occurs
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = found.toArrow().to_pydict()
+    order = sorted(range(len(rows["y"])), key=lambda i: rows["doc_id"][i])
     return [rows["text"][i] for i in order], np.array([rows["y"][i] for i in order], int), (counts.get(0, 0), counts.get(1, 0))
 
 

@@ -72,3 +72,9 @@ def test_without_broadcast(spark, monkeypatch):
         assert got == {i: brute(u) for i, u in enumerate(URLS)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_rules(spark):
+    one = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id bigint, url string")
+    got = sorted(map(tuple, urls.judge_urls(one, spark.createDataFrame([], urls.RULES), default="block").collect()))
+    assert got == [(1, "a.net", "/x", None, "block"), (2, "", "", None, "block")]
