@@ -75,7 +75,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, num:
     sets = sig.where("n_shingles > 0")
 
     def fetch(found: DataFrame) -> DataFrame:
-        one = sets.join(found, "node").groupBy("node", "cluster", "blocks", "block").agg(F.min(F.struct("rid", "h", "odd")).alias("one"))
+        # copies are one row of each task before they meet
+        one = sets.groupBy("node").agg(F.min(F.struct("rid", "h", "odd")).alias("one")).join(found, "node")
         one = written(one.select("node", "cluster", "blocks", "block", F.col("one.h").alias("h"), F.col("one.odd").alias("odd")), "members")
         bits = docs.sparkSession.sparkContext.broadcast(bloom_of(one, "h"))
 
@@ -99,7 +100,8 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, num:
 
     comp = near_components(sets, fetch, sk.differing_bits(num, den), num, den)
     classes = sets.groupBy("node").agg(least.alias("m")).join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = classes.groupBy("label").agg(F.min("m").alias("m"))
+    # written, so that the joins below read plain shuffles, of which large components and groups of copies are split
+    best = written(classes.groupBy("label").agg(F.min("m").alias("m")), "components")
     of_node = classes.select("node", "label").join(best, "label").select("node", F.col("m.doc_id").alias("component_id"), F.col("m.rid").alias("chosen_rid"))
     out = sig.join(of_node, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h", F.coalesce(F.col("chosen_rid") == F.col("rid"), F.lit(True)).alias("chosen"))

@@ -124,7 +124,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NU
     comp = near_components(signed, fetch, 0, num, den)
     # equal paragraphs are one node, counted in each task before the shuffle
     classes = found.groupBy("node").agg(least, F.count("*").alias("n")).join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = classes.groupBy("label").agg(F.min("m").alias("m"), F.sum("n").alias("copies")).where("copies > 1")
+    # written, so that the joins below read plain shuffles, of which large components and groups of copies are split
+    best = written(classes.groupBy("label").agg(F.min("m").alias("m"), F.sum("n").alias("copies")).where("copies > 1"), "components")
     of_node = classes.select("node", "label").join(best, "label").select("node", "m", "copies")
     out = found.select("doc_id", "para", "start", "end", "node", "rid").join(of_node, "node")
     return out.select("doc_id", "para", "start", "end", F.col("m.doc_id").alias("first_doc_id"), F.col("m.para").alias("first_para"), "copies", (F.col("rid") != F.col("m.rid")).alias("removed"))
