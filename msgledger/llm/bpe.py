@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from msgledger.llm.common import map_arrow, shuffle_parts, text_or_empty, written
 
-#: Words of the distinct-word table that are broadcast, and the bytes and ids one of them may have: 48 MB at most.
-HEAD_WORDS, HEAD_BYTES, HEAD_IDS = 400_000, 40, 20
+#: Words of the distinct-word table that are broadcast, and the bytes and ids one of them may have: 30 MB at most.
+HEAD_WORDS, HEAD_BYTES, HEAD_IDS = 250_000, 40, 20
 #: Distinct words that a task counts before it passes on those it has met FREQUENT times.
-COUNTED, FREQUENT = 300_000, 3
+COUNTED, FREQUENT = 200_000, 3
 #: Documents whose word numbers are packed together.
 CHUNK = 128
 
@@ -41,7 +41,7 @@ class Lazy:
 
     def get(self):
         if self.built is None:
-            self.built = self.make(self.raw)
+            self.built, self.raw = self.make(self.raw), None
         return self.built
 
 
