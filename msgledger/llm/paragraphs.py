@@ -80,7 +80,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS,
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, para, start, end, first_doc_id, first_para, copies, removed)``: each paragraph that repeats, exactly or nearly.
+    """``(doc_id, para, start, end, first_doc_id, first_para, first_start, copies, removed)``: each paragraph that repeats, exactly or nearly.
 
     A paragraph is a part between line feeds, of ``min_words`` words or more; ``para`` counts all parts that
     aren't blank, ``start`` and ``end`` are in code points. Paragraphs are linked when their words (A-Z
@@ -128,4 +128,4 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NU
     best = written(classes.groupBy("label").agg(F.min("m").alias("m"), F.sum("n").alias("copies")).where("copies > 1"), "components")
     of_node = classes.select("node", "label").join(best, "label").select("node", "m", "copies")
     out = found.select("doc_id", "para", "start", "end", "node", "rid").join(of_node, "node")
-    return out.select("doc_id", "para", "start", "end", F.col("m.doc_id").alias("first_doc_id"), F.col("m.para").alias("first_para"), "copies", (F.col("rid") != F.col("m.rid")).alias("removed"))
+    return out.select("doc_id", "para", "start", "end", F.col("m.doc_id").alias("first_doc_id"), F.col("m.para").alias("first_para"), F.col("m.start").alias("first_start"), "copies", (F.col("rid") != F.col("m.rid")).alias("removed"))

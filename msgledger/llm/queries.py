@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgledger.llm import bpe, exact, minhash, mixing, paragraphs, quality, secrets, topk, toxicity, urls
+from msgledger.llm import bpe, exact, minhash, mixing, quality, runs, secrets, topk, toxicity, urls
 from msgledger.llm.oracles import SQL
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,7 +70,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+    return runs.repeated_text(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
