@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,28 +13,91 @@ from pyspark.sql import functions as F
 
 from msgledger.llm.common import bloom_has, bloom_of, map_arrow, text_or_empty, written
 from msgledger.llm.near import near_components
-from msgledger.llm.shingles import Sketcher, WordHashes, shingle_set, words_of
+from msgledger.llm.shingles import Sketcher, WordHashes, mix, shingle_set, words_of
 
 #: Words that a paragraph needs to be looked at.
 MIN_WORDS = 25
+#: Words above which a line is looked at in pieces too, and the length to which pieces without a cut are cut.
+LONG, MAX_PART = 300, 100
 #: 14 bands of 4 samples: two paragraphs of similarity 0.8 share none with a chance of 6e-4, of 0.9 with 4e-7.
 BANDS, ROWS = 14, 4
 #: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def split(text: str) -> list[tuple[int, int]]:
-    r"""Starts and ends, in code points, of the parts between line feeds that aren't blank, without white space around."""
-    out, at = [], 0
+def _cuts(words: list[bytes], hashes: WordHashes) -> list[int]:
+    """Where long passages are cut: before the word whose pair with the one before has the smallest hash among MIN_WORDS to either side.
+
+    So cuts depend on the words around them alone, and parts have MIN_WORDS words or more. Parts over
+    2 * MAX_PART words, as of one word repeated, are cut every MAX_PART words.
+    """
+    n, r = len(words), MIN_WORDS
+    at = []
+    if n >= 2 * r:
+        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+        h = mix(h[:-1] * _PAIR + h[1:])  # h[i]: the pair that ends before word i + 2
+        near = np.lib.stride_tricks.sliding_window_view(h, r).min(axis=1)
+        i = np.arange(r, len(h) - r)
+        at = (i[(h[i] < near[i - r]) & (h[i] <= near[i + 1])] + 1).tolist()
+    out, last = [], 0
+    for cut in [*at, n]:
+        while cut - last > 2 * MAX_PART:
+            last += MAX_PART
+            out.append(last)
+        if cut < n:
+            out.append(cut)
+        last = cut
+    return out
+
+
+def _pieces(text: str, lo: int, hi: int, hashes: WordHashes) -> list[tuple[int, int, list[bytes]]]:
+    words = words_of(text[lo:hi])
+    bounds = [0, *_cuts(words, hashes), len(words)]
+    if len(bounds) == 2:
+        return [(lo, hi, words)]
+    spans = [m.span() for m in _WORD.finditer(text, lo, hi)]
+    return [(spans[i][0], spans[j - 1][1], words[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
+
+
+def parts(text: str, hashes: WordHashes) -> list[tuple[int, int, list[bytes]]]:
+    """``split`` with the words of each part."""
+    out, at, short = [], 0, []
+
+    def join() -> None:
+        if len(short) == 1:
+            out.append(short[0])
+        elif short:
+            out.extend(_pieces(text, short[0][0], short[-1][1], hashes))
+        short.clear()
+
     for line in text.split("\n"):
         own = line.strip()
         if own:
             lo = at + line.index(own[0]) if line[0] != own[0] else at
-            out.append((lo, lo + len(own)))
+            words = words_of(own)
+            if len(words) < MIN_WORDS:
+                short.append((lo, lo + len(own), words))
+            else:
+                join()
+                out.append((lo, lo + len(own), words))
+                if len(words) > LONG:
+                    out.extend(_pieces(text, lo, lo + len(own), hashes))
         at += len(line) + 1
+    join()
     return out
 
 
+def split(text: str) -> list[tuple[int, int]]:
+    r"""Starts and ends, in code points, of a text's parts, without white space around.
+
+    A line of MIN_WORDS words or more is a part; one of more than LONG words is also cut into parts. Shorter lines
+    that follow each other, blank ones left out, are joined, and cut where their words say so.
+    """
+    return [(lo, hi) for lo, hi, _ in parts(text, WordHashes())]
+
+
 def _digest(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
@@ -57,8 +121,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS,
             seen: set[bytes] = set()
             for i, text in enumerate(b.column(1)):
                 text = text.as_py()
-                for k, (lo, hi) in enumerate(split(text)):
-                    words = words_of(text[lo:hi])
+                for k, (lo, hi, words) in enumerate(parts(text, hashes)):
                     if len(words) < min_words:
                         continue
                     d = _digest(words)
@@ -82,8 +145,8 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS,
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, para, start, end, first_doc_id, first_para, first_start, copies, removed)``: each paragraph that repeats, exactly or nearly.
 
-    A paragraph is a part between line feeds, of ``min_words`` words or more; ``para`` counts all parts that
-    aren't blank, ``start`` and ``end`` are in code points. Paragraphs are linked when their words (A-Z
+    A paragraph is a part as ``split`` gives them (a line, joined short lines, a piece of a long line), of ``min_words``
+    words or more; ``para`` counts all parts, ``start`` and ``end`` are in code points. Paragraphs are linked when their words (A-Z
     lower-cased) are equal or den * intersection >= num * union of their 5-word shingles, confirmed on full sets;
     components of links are removed but for the first paragraph (smallest doc_id, then place), which all
     of them name. ``copies`` counts the component's paragraphs, also those within one document.
@@ -103,9 +166,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NU
             for b in batches:
                 node, words = [], []
                 for text in b.column(0):
-                    text = text.as_py()
-                    for lo, hi in split(text):
-                        w = words_of(text[lo:hi])
+                    for _, _, w in parts(text.as_py(), hashes):
                         if len(w) >= min_words:
                             node.append(_node(_digest(w)))
                             words.append(w)

@@ -57,3 +57,28 @@ def test_against_brute_force(spark, monkeypatch, block):
 def test_empty_and_no_repeats(spark):
     assert paragraphs.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
     assert paragraphs.repeated_passages(spark.createDataFrame([(1, "one two three", "x", 1)], SCHEMA)).count() == 0
+
+
+def test_hard_wrapped_and_long_lines(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"n{rng.randrange(5000)}" for _ in range(n)]
+    wrapped = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
+    run = fresh(500)
+    near = list(run)
+    near[250] = "changed"
+    rows = [(1, wrapped(fresh(70) + run + fresh(40), 12)), (2, wrapped(fresh(33) + near, 9)), (3, "\n\n".join([wrapped(run, 7), " ".join(fresh(60))])), (4, " ".join(fresh(800) + run + fresh(700))), (5, " ".join(fresh(800) + near + fresh(900)))]
+    text = dict(rows)
+    known = {x: i for i, x in enumerate(run)}
+    for i, part in ((i, [t[lo:hi].split() for lo, hi in paragraphs.split(t)]) for i, t in rows):
+        assert all(len(w) >= paragraphs.MIN_WORDS for w in part)
+        if i < 4:
+            assert [x for w in part for x in w] == text[i].split()
+    got = defaultdict(set)
+    for r in paragraphs.repeated_passages(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)).collect():
+        got[r.doc_id] |= {known[x] for x in text[r.doc_id][r.start : r.end].split() if x in known}
+    assert all(len(got[i]) > 0.6 * len(known) for i in text), {i: len(got[i]) for i in text}
+
+
+def test_pieces_are_bounded():
+    assert max(hi - lo for lo, hi in paragraphs.split("w\n" * 1000)) <= 4 * paragraphs.MAX_PART
+    assert sum((hi - lo + 1) // 2 for lo, hi in paragraphs.split("w\n" * 1000)) == 1000
