@@ -6,13 +6,14 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +35,7 @@ def _drop(spark: SparkSession, path: str) -> None:
 @atexit.register
 def _drop_all() -> None:
     """Delete at exit what ``written`` left; a session that has ended already took its folder along or is not reachable."""
-    for spark, path in _made:
+    for path, spark in _made.items():
         if spark.sparkContext._jsc is not None:
             _drop(spark, path)
 
@@ -48,10 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
+    _made[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the table of ``written`` that ``df`` selects from, when nothing reads it any more; other tables go when the process ends."""
+    for path in {unquote(f).rpartition("/")[0] for f in df.inputFiles()}:
+        name = path.rpartition("/")[2]
+        for own in [p for p in _made if p.endswith(f"/{name}")]:
+            _drop(_made.pop(own), own)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

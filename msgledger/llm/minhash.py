@@ -96,13 +96,16 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, num:
                 yield pa.record_batch([pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
         text = docs.select(F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"))
-        return one.join(map_arrow(text, shingles, "node bigint, shingles binary"), "node")
+        # one set of each node, whatever number of tasks met it
+        found_sets = map_arrow(text, shingles, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        return one.join(found_sets, "node")
 
-    comp = near_components(sets, fetch, sk.differing_bits(num, den), num, den)
+    comp = near_components(sets.select("node", "bands", F.col("n_shingles").alias("n")), fetch, sk.differing_bits(num, den), num, den)
     classes = sets.groupBy("node").agg(least.alias("m")).join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # written, so that the joins below read plain shuffles, of which large components and groups of copies are split
+    classes = written(classes, "classes")
     best = written(classes.groupBy("label").agg(F.min("m").alias("m")), "components")
-    of_node = classes.select("node", "label").join(best, "label").select("node", F.col("m.doc_id").alias("component_id"), F.col("m.rid").alias("chosen_rid"))
+    of_node = written(classes.select("node", "label").join(best, "label").select("node", F.col("m.doc_id").alias("component_id"), F.col("m.rid").alias("chosen_rid")), "nodes")
     out = sig.join(of_node, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "h", F.coalesce(F.col("chosen_rid") == F.col("rid"), F.lit(True)).alias("chosen"))
 

@@ -13,8 +13,8 @@ from msgledger.llm.common import grouped_map, map_arrow, shuffle_parts, written
 from msgledger.llm.graph import components
 from msgledger.llm.shingles import linked
 
-#: Sets that one task compares at once; larger clusters are dealt out as pairs of blocks of this size.
-BLOCK = 2048
+#: Sets that one task compares at once, and elements of all of them; larger clusters are dealt out as pairs of blocks of about this size.
+BLOCK, BLOCK_ELEMENTS = 512, 4_000_000
 #: Band keys that a task gathers before it joins those that collide among themselves.
 CHUNK = 2_000_000
 
@@ -91,18 +91,21 @@ def collisions(signed: DataFrame) -> DataFrame:
 
 
 def clusters(signed: DataFrame) -> DataFrame:
-    """``(node, cluster, blocks, block)`` of nodes that collide with others; two sets that collide have one cluster."""
+    """``(node, cluster, blocks, block)`` of nodes that collide with others; two sets that collide have one cluster. ``signed(node, bands, n)``: n is the set's size."""
     lab = components(collisions(signed))
-    sizes = lab.groupBy("label").agg(F.count("*").alias("n"))
-    lab = lab.join(sizes, "label").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = signed.groupBy("node").agg(F.max("n").alias("n"))
+    # written, so that the join on clusters reads plain shuffles, of which a large cluster is split
+    lab = written(lab.join(own, "node"), "sized")
+    sizes = lab.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    lab = lab.join(written(sizes, "sizes"), "label")
     return lab.select("node", F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
 
 
 def verified_links(members: DataFrame, most_bits: int, num: int, den: int) -> DataFrame:
     """Links ``(a, b)`` with den * intersection >= num * union, enough to connect all that such links connect.
 
-    ``members(node, cluster, blocks, block, odd, shingles)``: the sets' hashes as bytes; odd may be null.
-    A cluster of several blocks is resolved as pairs of blocks; a task holds two blocks at most.
+    ``members(node, cluster, blocks, block, odd, shingles)``: a row for each node, with the set's hashes as bytes; odd may be null.
+    A cluster of several blocks is resolved as pairs of blocks; a task holds two blocks at most, whatever the copies of a node.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = members.withColumn("other", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "odd", "shingles")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgledger.llm.common import bloom_has, bloom_of, map_arrow, text_or_empty, written
 from msgledger.llm.near import near_components
-from msgledger.llm.shingles import Sketcher, WordHashes, mix, shingle_set, words_of
+from msgledger.llm.shingles import Sketcher, mix
+from msgledger.llm.tokens import Words, span_hash, span_shingles, words_of_column
 
 #: Words that a paragraph needs to be looked at.
 MIN_WORDS = 25
@@ -24,19 +23,17 @@ BANDS, ROWS = 14, 4
 #: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _cuts(words: list[bytes], hashes: WordHashes) -> list[int]:
-    """Where long passages are cut: before the word whose pair with the one before has the smallest hash among MIN_WORDS to either side.
+def _cuts(h: np.ndarray) -> list[int]:
+    """Where long passages, given by their words' hashes, are cut: before the word whose pair with the one before has the smallest hash among MIN_WORDS to either side.
 
     So cuts depend on the words around them alone, and parts have MIN_WORDS words or more. Parts over
     2 * MAX_PART words, as of one word repeated, are cut every MAX_PART words.
     """
-    n, r = len(words), MIN_WORDS
+    n, r = len(h), MIN_WORDS
     at = []
     if n >= 2 * r:
-        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
         h = mix(h[:-1] * _PAIR + h[1:])  # h[i]: the pair that ends before word i + 2
         near = np.lib.stride_tricks.sliding_window_view(h, r).min(axis=1)
         i = np.arange(r, len(h) - r)
@@ -52,94 +49,78 @@ def _cuts(words: list[bytes], hashes: WordHashes) -> list[int]:
     return out
 
 
-def _pieces(text: str, lo: int, hi: int, hashes: WordHashes) -> list[tuple[int, int, list[bytes]]]:
-    words = words_of(text[lo:hi])
-    bounds = [0, *_cuts(words, hashes), len(words)]
-    if len(bounds) == 2:
-        return [(lo, hi, words)]
-    spans = [m.span() for m in _WORD.finditer(text, lo, hi)]
-    return [(spans[i][0], spans[j - 1][1], words[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
-
-
-def parts(text: str, hashes: WordHashes) -> list[tuple[int, int, list[bytes]]]:
-    """``split`` with the words of each part."""
-    out, at, short = [], 0, []
-
-    def join() -> None:
-        if len(short) == 1:
-            out.append(short[0])
-        elif short:
-            out.extend(_pieces(text, short[0][0], short[-1][1], hashes))
-        short.clear()
-
-    for line in text.split("\n"):
-        own = line.strip()
-        if own:
-            lo = at + line.index(own[0]) if line[0] != own[0] else at
-            words = words_of(own)
-            if len(words) < MIN_WORDS:
-                short.append((lo, lo + len(own), words))
-            else:
-                join()
-                out.append((lo, lo + len(own), words))
-                if len(words) > LONG:
-                    out.extend(_pieces(text, lo, lo + len(own), hashes))
-        at += len(line) + 1
-    join()
-    return out
+def parts(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``split`` of each of the documents: document, and first word and end among the words of all, in order."""
+    n = len(w.hash)
+    if not n:
+        return (np.empty(0, np.int64),) * 3
+    doc = w.doc
+    head = np.flatnonzero(np.concatenate(([True], (w.line[1:] != w.line[:-1]) | (doc[1:] != doc[:-1]))))
+    tail = np.append(head[1:], n)
+    size, of = tail - head, doc[head]
+    short = size < MIN_WORDS
+    # short lines that follow each other in a document are one passage
+    new = np.concatenate(([True], ~short[1:] | ~short[:-1] | (of[1:] != of[:-1])))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(head)) - 1
+    lo, hi = head[first], tail[last]
+    joined = last > first
+    out = [(lo[~joined], hi[~joined])]
+    for a, b in zip(*(x[joined | (hi - lo > LONG)].tolist() for x in (lo, hi)), strict=True):
+        cuts = [0, *_cuts(w.hash[a:b]), b - a]
+        if len(cuts) > 2 or w.line[a] != w.line[b - 1]:  # a long line without a cut is a part already
+            out.append((np.array(cuts[:-1]) + a, np.array(cuts[1:]) + a))
+    lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((-hi, lo))
+    lo, hi = lo[order], hi[order]
+    return doc[lo], lo, hi
 
 
 def split(text: str) -> list[tuple[int, int]]:
-    r"""Starts and ends, in code points, of a text's parts, without white space around.
+    r"""Starts and ends, in code points, of a text's parts, from the first of its words to the end of the last.
 
     A line of MIN_WORDS words or more is a part; one of more than LONG words is also cut into parts. Shorter lines
     that follow each other, blank ones left out, are joined, and cut where their words say so.
     """
-    return [(lo, hi) for lo, hi, _ in parts(text, WordHashes())]
-
-
-def _digest(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
+    return [(int(w.start[a]), int(w.end[b - 1])) for w in words_of_column(pa.array([text], pa.string())) for _, a, b in zip(*parts(w), strict=True)]
 
 
-def _node(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _long_parts(w: Words, min_words: int) -> tuple[np.ndarray, ...]:
+    """Document, number in it, first word, end and node of each part of ``min_words`` words or more; and the sums of hashes."""
+    doc, lo, hi = parts(w)
+    para = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    keep = hi - lo >= min_words
+    doc, para, lo, hi = doc[keep], para[keep], lo[keep], hi[keep]
+    sums = w.sums()
+    return doc, para, lo, hi, span_hash(sums, lo, hi).view(np.int64), sums
 
 
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, para, start, end, digest, node, bands)`` of each paragraph of ``min_words`` words or more.
+    """``(doc_id, para, start, end, n_words, node, bands)`` of each paragraph of ``min_words`` words or more.
 
-    ``digest``: 128 bits of its words, A-Z lower-cased; ``node``: 64 of these bits. Bands are given once for each
-    digest and batch.
+    ``node``: 64 bits of a hash of its words, A-Z lower-cased. Bands are given once for each node and chunk of documents.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sk = WordHashes(), Sketcher(bands, rows)
-        none = np.empty(0, np.int64)
+        sk = Sketcher(bands, rows)
         for b in batches:
-            who, para, starts, ends, digests, nodes, keys = [], [], [], [], [], [], []
-            seen: set[bytes] = set()
-            for i, text in enumerate(b.column(1)):
-                text = text.as_py()
-                for k, (lo, hi, words) in enumerate(parts(text, hashes)):
-                    if len(words) < min_words:
-                        continue
-                    d = _digest(words)
-                    who.append(i)
-                    para.append(k)
-                    starts.append(lo)
-                    ends.append(hi)
-                    digests.append(d)
-                    nodes.append(_node(d))
-                    keys.append(none if d in seen else sk.band_keys(sk.samples(shingle_set(words, hashes))))
-                    seen.add(d)
-            yield pa.record_batch(
-                [b.column(0).take(pa.array(who, pa.int64())), pa.array(para, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "para", "start", "end", "digest", "node", "bands"],
-            )
+            for w in words_of_column(b.column(1)):
+                doc, para, lo, hi, node, sums = _long_parts(w, min_words)
+                if not len(doc):
+                    continue
+                _, first = np.unique(node, return_index=True)
+                first.sort()
+                keys = sk.many_band_keys(sk.many_samples(*span_shingles(sums, lo[first], hi[first])))
+                has = np.zeros(len(node), np.int32)
+                has[first] = bands
+                lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), np.cumsum(has, dtype=np.int32))), pa.array(keys.ravel()))
+                yield pa.record_batch(
+                    [b.column(0).take(pa.array(doc + w.first)), *(pa.array(x.astype(np.int32)) for x in (para, w.start[lo], w.end[hi - 1], hi - lo)), pa.array(node), lists],
+                    names=["doc_id", "para", "start", "end", "n_words", "node", "bands"],
+                )
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return map_arrow(base, sign, "doc_id bigint, para int, start int, end int, digest binary, node bigint, bands array<bigint>")
+    return map_arrow(base, sign, "doc_id bigint, para int, start int, end int, n_words int, node bigint, bands array<bigint>")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -162,31 +143,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NU
         bits = docs.sparkSession.sparkContext.broadcast(bloom_of(members, "node"))
 
         def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, seen = WordHashes(), set()
+            seen: set[int] = set()
             for b in batches:
-                node, words = [], []
-                for text in b.column(0):
-                    for _, _, w in parts(text.as_py(), hashes):
-                        if len(w) >= min_words:
-                            node.append(_node(_digest(w)))
-                            words.append(w)
-                ids, raw = [], []
-                for i in np.flatnonzero(bloom_has(bits.value, np.array(node, np.int64))).tolist():
-                    if node[i] not in seen:
-                        seen.add(node[i])
-                        ids.append(node[i])
-                        raw.append(shingle_set(words[i], hashes).tobytes())
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
+                for w in words_of_column(b.column(0)):
+                    _, _, lo, hi, node, sums = _long_parts(w, min_words)
+                    at = [i for i in np.flatnonzero(bloom_has(bits.value, node)).tolist() if not (node[i] in seen or seen.add(node[i]))]
+                    if not at:
+                        continue
+                    s, n = span_shingles(sums, lo[at], hi[at])
+                    raw = [np.unique(x).tobytes() for x in np.split(s, np.cumsum(n)[:-1])]
+                    yield pa.record_batch([pa.array(node[at]), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
         sets = map_arrow(docs.select(text_or_empty().alias("text")), shingles, "node bigint, shingles binary")
-        return members.join(sets, "node").withColumn("odd", F.lit(None).cast("binary"))
+        # one set of each paragraph, whatever number of tasks met it
+        one = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+        return members.join(one, "node").withColumn("odd", F.lit(None).cast("binary"))
 
-    signed = found.where(F.size("bands") > 0).select("node", "bands")
+    signed = found.where(F.size("bands") > 0).select("node", "bands", F.col("n_words").alias("n"))
     comp = near_components(signed, fetch, 0, num, den)
     # equal paragraphs are one node, counted in each task before the shuffle
     classes = found.groupBy("node").agg(least, F.count("*").alias("n")).join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # written, so that the joins below read plain shuffles, of which large components and groups of copies are split
+    classes = written(classes, "classes")
     best = written(classes.groupBy("label").agg(F.min("m").alias("m"), F.sum("n").alias("copies")).where("copies > 1"), "components")
-    of_node = classes.select("node", "label").join(best, "label").select("node", "m", "copies")
+    of_node = written(classes.select("node", "label").join(best, "label").select("node", "m", "copies"), "nodes")
     out = found.select("doc_id", "para", "start", "end", "node", "rid").join(of_node, "node")
     return out.select("doc_id", "para", "start", "end", F.col("m.doc_id").alias("first_doc_id"), F.col("m.para").alias("first_para"), F.col("m.start").alias("first_start"), "copies", (F.col("rid") != F.col("m.rid")).alias("removed"))

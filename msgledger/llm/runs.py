@@ -6,51 +6,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgledger.llm.common import map_arrow, shuffle_parts, text_or_empty, written
+from msgledger.llm.common import grouped_map, map_arrow, shuffle_parts, sorted_groups, text_or_empty, written
 from msgledger.llm.paragraphs import repeated_passages
-from msgledger.llm.shingles import WordHashes, mix, words_of
+from msgledger.llm.shingles import mix
+from msgledger.llm.tokens import Words, gram_hash, words_of_column
 
 #: A gram has 50 words; its seed is the smallest hash among the 26 half grams in it, so equal grams have equal seeds.
 HALF = 25
 GRAM = 2 * HALF
-#: Words that are hashed at once, of several documents or of one.
-CHUNK = 50_000
+#: Bytes of text whose grams are looked at at once, of several documents or of one.
+CHUNK = 1 << 20
 #: Bits of the filter of repeated seeds: 16 or more for each, between these bounds; a fuller one passes more grams on, never fewer.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
-_STRETCH = ["rid", "doc_id", "pos", "last", "start", "end", "first_rid", "first_doc_id", "first_start", "copies", "removed"]
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _pair(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
-    n = max(len(b) - apart, 0)
-    return mix(a[:n] * _A + b[apart : apart + n] * _B)
-
-
-def grams(docs: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(document, position, gram, seed)`` of every GRAM consecutive words of each document, in order."""
-    size = np.array([len(w) for w in docs], np.int64)
-    n = int(size.sum())
-    if n < GRAM:
+    if len(w.hash) < GRAM:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = np.fromiter((hashes[x] for w in docs for x in w), np.uint64, n)
-    h2 = _pair(h, h, 1)
-    h4 = _pair(h2, h2, 2)
-    h8 = _pair(h4, h4, 4)
-    h16 = _pair(h8, h8, 8)
-    half = _pair(_pair(h16, h8, 16), h, HALF - 1)
-    gram = _pair(half, half, HALF)
+    sums = w.sums()
+    half, gram = gram_hash(sums, HALF), gram_hash(sums, GRAM)
     least, reach = half, 1
     while 2 * reach <= HALF + 1:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     m = len(gram)
     seed = np.minimum(least[:m], least[HALF + 1 - reach :][:m])
-    doc = np.repeat(np.arange(len(docs)), size)
+    doc = w.doc
     at = np.flatnonzero(doc[:m] == doc[GRAM - 1 :])
-    return doc[at], at - (np.cumsum(size) - size)[doc[at]], gram[at], seed[at]
+    return doc[at], at - w.offset[doc[at]], gram[at], seed[at]
 
 
 def _seeds(doc: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,22 +52,6 @@ def _seeds(doc: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u.view(np.int64), np.bincount(back, times, len(u)).astype(np.int64)
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    rows, docs, held = [], [], 0
-    for i, text in enumerate(column):
-        words = words_of(text.as_py())
-        if len(words) < GRAM:
-            continue
-        rows.append(i)
-        docs.append(words)
-        held += len(words)
-        if held >= CHUNK:
-            yield rows, docs
-            rows, docs, held = [], [], 0
-    if rows:
-        yield rows, docs
-
-
 def _at(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     x = mix(keys.view(np.uint64))
     return (x & np.uint64(bits - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
@@ -86,7 +59,8 @@ def _at(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _filter_of(seeds: DataFrame) -> np.ndarray:
     """64-bit words of a filter with two bits for each seed."""
-    bits = min(max(1 << (16 * seeds.count() - 1).bit_length(), LEAST_BITS), MOST_BITS) if seeds.limit(1).count() else LEAST_BITS
+    n = seeds.count()
+    bits = min(max(1 << (16 * n - 1).bit_length(), LEAST_BITS), MOST_BITS) if n else LEAST_BITS
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,16 +80,6 @@ def _has(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends, in code points, of the words of ``words_of``."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
-    step = np.diff(inside)
-    point = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
-    return point[np.flatnonzero(step == 1)], point[np.flatnonzero(step == -1)]
-
-
 def _bases(doc: np.ndarray, pos: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """For each gram its own position, or that of an equal one before in the document that it overlaps."""
     order = np.lexsort((pos, gram, doc))
@@ -129,23 +93,19 @@ def _bases(doc: np.ndarray, pos: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def _whole(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4000) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows that hold all rows of each of their keys; the input is sorted by the key. Holds one key's rows and a table."""
-    held, n = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(b.schema.get_field_index(key)).to_numpy()
-        cut = int(np.searchsorted(k, k[-1]))
-        # the rows before the batch's last key complete what is held; where all are of one key, they do if it is a new one
-        if n + cut >= rows and (cut or (held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != k[0])):
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held, n = [], 0
-            b = b.slice(cut)
-        held.append(b)
-        n += b.num_rows
-    if held:
-        yield pa.Table.from_batches(held)
+# ---------------------------------------------------------------- whole numbers in order of their places, packed
+def _pack(z: zstandard.ZstdCompressor, *columns: np.ndarray) -> bytes:
+    """Differences of each column's numbers, by byte planes, compressed."""
+    x = np.stack([np.diff(c.astype(np.int64), prepend=np.int64(0)) for c in columns])
+    return z.compress(x.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes())
+
+
+def _unpack(z: zstandard.ZstdDecompressor, raw: bytes, columns: int) -> np.ndarray:
+    x = np.frombuffer(z.decompress(raw), np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)
+    return np.cumsum(np.ascontiguousarray(x).view(np.int64)[:, :, 0], axis=1)
+
+
+_FOUND = "part int, chunk bigint, docs array<bigint>, rids array<bigint>, packed binary, gram array<bigint>"
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -162,98 +122,119 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words. A null doc_id counts as larger than all others. Repeated rows
     are copies. Columns besides doc_id and text are not read; an empty table, or one without repeats, gives no rows.
 
-    The places of one seed, 26 grams of each at most unless words recur, are compared by one task: its memory grows
-    with the places of the most frequent run. Grams are compared only where their seeds repeat, and then by 64 bits of a hash of their words.
+    Grams are compared only where their seeds repeat, and then by 64 bits of a hash of their words. A chunk of documents
+    sends each of its distinct grams once, with its first place, to the task that compares it, however often the chunk has
+    it; the answer comes back to the chunk by position. So a gram of any share of the texts is one entry of each chunk.
     """
+    spark = docs.sparkSession
+    parts, limit = shuffle_parts(spark), CHUNK
 
     def sow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            for _, words in _chunks(b.column(0)):
-                doc, _, _, seed = grams(words, hashes)
+            for w in words_of_column(b.column(0), limit):
+                doc, _, _, seed = grams(w)
                 u, n = _seeds(doc, seed)
                 yield pa.record_batch([pa.array(u), pa.array(n)], names=["seed", "n"])
 
     seeds = map_arrow(docs.select(text_or_empty().alias("text")), sow, "seed bigint, n bigint")
     seeds = written(seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "seeds")
-    several = docs.sparkSession.sparkContext.broadcast(_filter_of(seeds))
+    several = spark.sparkContext.broadcast(_filter_of(seeds))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        """For each chunk a row of its places (``part`` is null), and one of its distinct grams for each part that compares them."""
+        z = zstandard.ZstdCompressor(level=1)
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
-            for rows, words in _chunks(b.column(2)):
-                doc, pos, gram, seed = grams(words, hashes)
+            for w in words_of_column(b.column(2), limit):
+                doc, pos, gram, seed = grams(w)
                 at = np.flatnonzero(_has(several.value, seed))
-                doc, pos, gram, seed = doc[at], pos[at], gram[at], seed[at]
-                start, end = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-                cuts = np.searchsorted(doc, np.arange(len(rows) + 1))
-                for k in np.unique(doc).tolist():
-                    lo, hi = cuts[k], cuts[k + 1]
-                    first, last = _word_bounds(b.column(2)[rows[k]].as_py())
-                    start[lo:hi], end[lo:hi] = first[pos[lo:hi]], last[pos[lo:hi] + GRAM - 1]
-                # a row for the consecutive grams of one seed
-                new = np.ones(len(at), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (seed[1:] != seed[:-1])
-                lo = np.flatnonzero(new)
-                offsets = pa.array(np.append(lo, len(at)).astype(np.int32))
-                lists = (gram.view(np.int64), *(x.astype(np.int32) for x in (pos - _bases(doc, pos, gram), start, end)))
-                row = pa.array(np.array(rows, np.int64)[doc[lo]])
+                if not len(at):
+                    continue
+                doc, pos, gram = doc[at], pos[at], gram[at]
+                word = w.offset[doc] + pos
+                start, end = w.start[word], w.end[word + GRAM - 1]
+                base = _bases(doc, pos, gram)
+                rids, ids = b.column(0).slice(w.first, len(w.size)), b.column(1).slice(w.first, len(w.size))
+                rank = np.empty(len(w.size), np.int64)
+                rank[np.lexsort((rids.to_numpy(), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))] = np.arange(len(w.size))
+                _, back = np.unique(gram, return_inverse=True)
+                order = np.lexsort((pos, rank[doc], back))
+                first = order[np.flatnonzero(np.append(True, np.diff(back[order]) > 0))]
+                n = np.bincount(back, base == pos).astype(np.int64)
+                # distinct grams are numbered by part, then by their first place
+                part = (gram[first] % np.uint64(parts)).astype(np.int64)
+                by = np.lexsort((first, part))
+                to = np.empty(len(by), np.int64)
+                to[by] = np.arange(len(by))
+                first, part, n = first[by], part[by], n[by]
+                cuts = np.flatnonzero(np.append(True, np.diff(part) > 0))
+                ends = np.append(cuts[1:], len(part))
+                packed = [_pack(z, doc, pos, start, end, base, to[back])]
+                null, doc_id = ids.is_null().to_numpy(zero_copy_only=False)[doc[first]], ids.fill_null(0).to_numpy()[doc[first]]
+                rid = rids.to_numpy()[doc[first]]
+                packed += [_pack(z, np.arange(lo, hi), *(x[lo:hi] for x in (null, doc_id, rid, pos[first], start[first], n))) for lo, hi in zip(cuts.tolist(), ends.tolist(), strict=True)]
+                k = len(cuts) + 1
+                # the chunk's documents are listed with its places alone
+                lists = pa.array(np.append(np.int32(0), np.full(k, len(w.size), np.int32)))
+                own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0, 0], ends)).astype(np.int32)), pa.array(gram[first].view(np.int64)))
                 yield pa.record_batch(
-                    [pa.array(seed[lo].view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(pos[lo].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists)],
-                    names=["seed", "rid", "doc_id", "pos", "gram", "back", "start", "end"],
+                    [pa.array([None, *part[cuts].tolist()], pa.int32()), pa.array([number] * k, pa.int64()), pa.ListArray.from_arrays(lists, ids), pa.ListArray.from_arrays(lists, rids), pa.array(packed, pa.binary()), own],
+                    names=["part", "chunk", "docs", "rids", "packed", "gram"],
                 )
+                number += 1
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches, "seed"):
-            n = pa.compute.list_value_length(t["gram"]).to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            gram, back, start, end = (t[c].combine_chunks().flatten().to_numpy() for c in ("gram", "back", "start", "end"))
-            null, doc_id, rid = t["doc_id"].is_null().to_numpy(), t["doc_id"].fill_null(0).to_numpy(), t["rid"].to_numpy()
-            pos = t["pos"].to_numpy()[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-            base = pos - back
-            order = np.lexsort((pos, rid[row], doc_id[row], null[row], gram))
+        """For each part of each chunk, where its repeated grams stand first and how often; parts are balanced, as a chunk has a gram once."""
+        z, back = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for t in sorted_groups(batches, ["part"]):
+            sizes = pa.compute.list_value_length(t["gram"]).to_numpy()
+            at, null, doc_id, rid, pos, start, n = np.concatenate([_unpack(z, x, 7) for x in t["packed"].to_pylist()], axis=1)
+            gram = t["gram"].combine_chunks().flatten().to_numpy()
+            order = np.lexsort((pos, rid, doc_id, null, gram))
             g = gram[order]
             lo = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             size = np.diff(np.append(lo, len(g)))
             copies, first = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
-            copies[order] = np.repeat(np.add.reduceat((back == 0)[order].astype(np.int64), lo), size)
+            copies[order] = np.repeat(np.add.reduceat(n[order], lo), size)
             first[order] = np.repeat(order[lo], size)
-            at = np.flatnonzero(copies > 1)
-            if not len(at):
-                continue
-            first, row, pos, copies, start, end = first[at], row[at], pos[at], copies[at], start[at], end[at]
-            of = np.repeat(np.arange(len(n)), n)[first]
-            first_pos, first_start = base[first], t["start"].combine_chunks().flatten().to_numpy()[first]
-            removed = (rid[row] != rid[of]) | (base[at] != first_pos)
-            new = np.ones(len(at), bool)
-            new[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1) | (rid[of][1:] != rid[of][:-1]) | (removed[1:] != removed[:-1])
-            lo = np.flatnonzero(new)
-            hi = np.append(lo[1:], len(at)) - 1
-            own, src = pa.array(row[lo]), pa.array(of[lo])
-            cols = [t["rid"].take(own), t["doc_id"].take(own), pos[lo], pos[hi], start[lo], end[hi], t["rid"].take(src), t["doc_id"].take(src), first_start[lo], np.maximum.reduceat(copies, lo), removed[lo]]
-            types = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
-            yield pa.record_batch([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else pa.array(x).cast(k) for x, k in zip(cols, types, strict=True)], names=_STRETCH)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole(batches, "rid"):
-            rid, lo_, hi_, from_, removed = (t[c].to_numpy() for c in ("rid", "pos", "last", "first_rid", "removed"))
-            new = np.ones(len(rid), bool)
-            new[1:] = (rid[1:] != rid[:-1]) | (lo_[1:] != hi_[:-1] + 1) | (from_[1:] != from_[:-1]) | (removed[1:] != removed[:-1])
-            lo = np.flatnonzero(new)
-            hi = np.append(lo[1:], len(rid)) - 1
-            head, tail = t.take(pa.array(lo)), t["end"].take(pa.array(hi))
-            most = pa.array(np.maximum.reduceat(t["copies"].to_numpy(), lo))
-            out = head.set_column(_STRETCH.index("end"), "end", tail).set_column(_STRETCH.index("copies"), "copies", most)
-            yield from out.select(["doc_id", "start", "end", "first_doc_id", "first_start", "copies", "removed"]).combine_chunks().to_batches()
+            chunk, cuts = t["chunk"].to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+            for i in range(len(sizes)):
+                k = cuts[i] + np.flatnonzero(copies[cuts[i] : cuts[i + 1]] > 1)
+                if len(k):
+                    f = first[k]
+                    yield pa.record_batch([pa.array([chunk[i]], pa.int64()), pa.array([_pack(back, at[k], null[f], doc_id[f], rid[f], pos[f], start[f], copies[k])], pa.binary())], names=["chunk", "answer"])
+
+    def resolve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        own = t.filter(t["answer"].is_null())
+        answers = t["answer"].drop_null().to_pylist()
+        if not answers:
+            return
+        doc, pos, start, end, base, gram = _unpack(z, own["packed"][0].as_py(), 6)
+        ids, rid = own["docs"][0].values, own["rids"][0].values.to_numpy()
+        known = np.zeros((7, int(gram.max()) + 1), np.int64)
+        for x in answers:
+            x = _unpack(z, x, 7)
+            known[:, x[0]] = x
+        at = np.flatnonzero(known[6, gram] > 1)
+        doc, pos, start, end, base = (x[at] for x in (doc, pos, start, end, base))
+        _, null, first_doc, first_rid, first_pos, first_start, copies = known[:, gram[at]]
+        removed = (rid[doc] != first_rid) | (base != first_pos)
+        new = np.ones(len(at), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (first_rid[1:] != first_rid[:-1]) | (removed[1:] != removed[:-1])
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(at)) - 1
+        yield pa.record_batch(
+            [ids.take(pa.array(doc[lo])), pa.array(start[lo], pa.int32()), pa.array(end[hi], pa.int32()), pa.array(first_doc[lo], pa.int64(), mask=null[lo] == 1), pa.array(first_start[lo], pa.int32()), pa.array(np.maximum.reduceat(copies, lo)), pa.array(removed[lo])],
+            names=["doc_id", "start", "end", "first_doc_id", "first_start", "copies", "removed"],
+        )
 
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    found = map_arrow(base, find, "seed bigint, rid bigint, doc_id bigint, pos int, gram array<bigint>, back array<int>, start array<int>, end array<int>")
-    parts = shuffle_parts(docs.sparkSession)
-    # equal grams have equal seeds, so they meet in one task
-    found = found.repartition(parts, "seed").sortWithinPartitions("seed")
-    same = map_arrow(found, compare, "rid bigint, doc_id bigint, pos int, last int, start int, end int, first_rid bigint, first_doc_id bigint, first_start int, copies bigint, removed boolean")
-    same = same.repartition(parts, "rid").sortWithinPartitions("rid", "pos")
-    return map_arrow(same, merge, "doc_id bigint, start int, end int, first_doc_id bigint, first_start int, copies bigint, removed boolean")
+    found = written(map_arrow(base, find, _FOUND), "grams")
+    asked = found.where("part IS NOT NULL").repartitionById(parts, "part").sortWithinPartitions("part")
+    answers = map_arrow(asked, compare, "chunk bigint, answer binary")
+    places = found.where("part IS NULL").select("chunk", "docs", "rids", "packed", F.lit(None).cast("binary").alias("answer"))
+    return grouped_map(places.unionByName(answers, allowMissingColumns=True), ["chunk"], resolve, "doc_id bigint, start int, end int, first_doc_id bigint, first_start int, copies bigint, removed boolean")
 
 
 def repeated_text(docs: DataFrame) -> DataFrame:

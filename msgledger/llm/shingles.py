@@ -79,6 +79,28 @@ class Sketcher:
             np.minimum(out, y.min(axis=1), out=out)
         return out
 
+    def many_samples(self, s: np.ndarray, n: np.ndarray, block: int = 4096) -> np.ndarray:
+        """``samples`` of several sets, a row for each: ``s`` holds one after the other, ``n`` their sizes, none of them 0."""
+        x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
+        ends = np.cumsum(n)
+        out = np.empty((len(n), self.k), np.uint32)
+        i = 0
+        while i < len(n):
+            lo = int(ends[i] - n[i])
+            j = max(int(np.searchsorted(ends, lo + block, side="right")), i + 1)
+            if j == i + 1:
+                out[i] = self.samples(s[lo : ends[i]])
+            else:
+                y = np.multiply.outer(self.a, x[lo : ends[j - 1]])
+                y += self.b[:, None]
+                out[i:j] = np.minimum.reduceat(y, ends[i:j] - n[i:j] - lo, axis=1).T
+            i = j
+        return out
+
+    def many_band_keys(self, samples: np.ndarray) -> np.ndarray:
+        x = (samples.reshape(-1, self.bands, self.rows).astype(np.uint64) * self.powers).sum(axis=2, dtype=np.uint64)
+        return mix(x ^ self.band).view(np.int64)
+
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
         x = (samples.reshape(self.bands, self.rows).astype(np.uint64) * self.powers).sum(axis=1, dtype=np.uint64)
         return mix(x ^ self.band).view(np.int64)
