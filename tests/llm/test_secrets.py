@@ -77,3 +77,23 @@ def test_no_python_and_no_shuffle(spark):
 
 def test_empty(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_very_long_strings(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwyz0123456789+"
+    texts = ["a1" + "".join(rng.choice(letters) for _ in range(10**6)), "some-" * 200_000 + "slug-2024", "x1-" * 200_000, "token=abcdefg1 " * 20_000, "password" + " " * 10**6 + "=abcdefgh", "AKIA" * 250_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = secrets.scan_secrets(docs).select("doc_id", secrets.span_text(F.col("base")).alias("base"), secrets.span_text(F.col("added")).alias("added")).collect()
+    for r in rows:
+        t = texts[r.doc_id]
+        assert r.base == brute(t)
+        assert r.added == ("entropy:0:1000002" if r.doc_id == 0 else "")
+    assert len(rows) == len(texts)
+
+
+def test_entropy_of_every_window(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab1", "0123456789abcdef", "ABCdef+/_=-xyz0189") for n in (19, 20, 21, 60, 400)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", secrets.window_entropy(F.col("s")).alias("e")).collect()
+    assert all(abs(r.e - entropy(texts[r.i])) < 1e-9 for r in got)
