@@ -1,4 +1,4 @@
-"""What the operators share: durable intermediate tables, keys, Bloom filters, groups of sorted rows."""
+"""What the operators share: durable intermediate tables, filters of keys, rows that stay, groups of sorted rows."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
@@ -82,51 +83,81 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-# ---------------------------------------------------------------- Bloom filter of a fixed size
-BLOOM_BITS = 1 << 24
-BLOOM_HASHES = 4
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+# ---------------------------------------------------------------- a filter of keys, of a bounded size
+#: Bits of a filter: 16 or more for each key, between these bounds (8 kB and 64 MB); a fuller one passes more on, never fewer.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
 
-def _bloom_at(keys: np.ndarray, i: int) -> np.ndarray:
-    x = keys.astype(np.uint64) * np.uint64(_MIX[i] | 1)
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(33)) & np.uint64(BLOOM_BITS - 1)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def bloom_of(keys: DataFrame, col: str) -> np.ndarray:
-    """Bits of a Bloom filter over a BIGINT column.
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x = _mixed(keys.view(np.uint64))
+    return (x & np.uint64(bits - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
-    It has ``BLOOM_BITS`` bits (2 MB) whatever the input, so it may be broadcast. It only spares work:
-    a full filter lets every row pass, and an exact join follows it always.
+
+def key_filter(keys: DataFrame, col: str) -> np.ndarray:
+    """A filter with two bits for each value of a BIGINT column, as 64-bit words.
+
+    Its size is bounded, so it may be broadcast. It only spares work: an exact join follows it always.
     """
+    keys = keys.select(F.col(col).cast("bigint").alias("key")).where("key IS NOT NULL")
+    n = keys.count()
+    bits = min(max(1 << (16 * n - 1).bit_length(), LEAST_BITS), MOST_BITS) if n else LEAST_BITS
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(BLOOM_BITS, bool)
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for i in range(BLOOM_HASHES):
-                own[_bloom_at(k, i)] = True
-        words = np.packbits(own, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], names=["word", "bits"])
-
-    parts = map_arrow(keys.select(F.col(col).cast("bigint")).where(F.col(col).isNotNull()), bits, "word bigint, bits bigint")
-    got = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+            at = np.concatenate(_places(b.column(0).to_numpy(), bits))
+            yield pa.record_batch([pa.array(at >> 6), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    got = map_arrow(keys, own, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out
 
 
-def bloom_has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    k = keys.astype(np.int64).view(np.uint64)
-    ok = np.ones(len(k), bool)
-    for i in range(BLOOM_HASHES):
-        ok &= bits[_bloom_at(k, i)]
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys the filter passes: all that it was made of, and few others."""
+    ok = np.ones(len(keys), bool)
+    for at in _places(keys, 64 * len(words)):
+        ok &= (words[at >> 6] >> (at & 63)) & 1 == 1
     return ok
 
 
+# ---------------------------------------------------------------- rows that stay
+def keep_rows(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns, by ``decided(doc_id, key, stays)``: a row for each row of ``docs``.
+
+    Of rows with one doc_id and key, one stays if any does; which of them, their other columns decide, so that a
+    rerun keeps the same. Texts aren't shuffled but those of rows whose key may be one that a row goes for, by a filter of
+    bounded size.
+    """
+    spark = docs.sparkSession
+    cols = docs.columns
+    k, null, own_id, rank = (fresh(docs, n) for n in ("key", "null", "id", "rank"))
+    gone = decided.groupBy("doc_id", "key").agg(F.min("stays").alias("all"), F.max("stays").alias("any")).where("NOT all")
+    gone = written(gone.select(F.col("key").alias(k), F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias(own_id), "any"), "gone")
+    bits = spark.sparkContext.broadcast(key_filter(gone, k))
+
+    @F.pandas_udf("boolean")
+    def asked(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, keys.to_numpy()))
+
+    own = docs.withColumn(k, key)
+    some = own.where(asked(F.col(k))).withColumn(null, F.col("doc_id").isNull()).withColumn(own_id, F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint"))
+    # one partitioning serves the join and the window
+    kept = fresh(docs, "any")
+    found = some.join(gone.withColumnRenamed("any", kept), [k, null, own_id], "left").where(F.coalesce(kept, F.lit(True)))
+    first = F.row_number().over(Window.partitionBy(k, null, own_id).orderBy(F.struct(*cols).cast("string")))
+    stay = found.withColumn(rank, first).where(F.col(kept).isNull() | (F.col(rank) == 1))
+    return own.where(~asked(F.col(k))).select(*cols).union(stay.select(*cols))
+
+
 # ---------------------------------------------------------------- runs of equal keys in sorted rows
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows with equal ``keys``; the input is sorted by them. Holds one group and one batch."""

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgledger.llm.common import fresh, map_arrow, shuffle_parts, text_or_empty, written
+from msgledger.llm.common import keep_rows, map_arrow, shuffle_parts, text_or_empty, written
 
 #: Runs that meet in one merge; log2(FAN_IN) rounds of a binomial tree are done at once.
 FAN_IN = 4
@@ -96,19 +96,22 @@ def exact_duplicates(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     first read. A null doc_id counts as larger than all others (a group of only such rows has a null
     keep_id and keeps one row). An empty table gives no rows. Columns besides doc_id and text are not read.
     """
+    return _decided(docs, fan_in).drop("check")
+
+
+def _decided(docs: DataFrame, fan_in: int) -> DataFrame:
+    """``exact_duplicates`` and ``check``, xxhash64 of the normalised text."""
     rows = written(digests(docs).withColumn("rid", F.monotonically_increasing_id()), "digests")
     entries = rows.select(F.unhex("text_sha256").alias("digest"), "n_bytes", "check", F.col("doc_id").isNull().alias("null_id"), "doc_id", "rid", F.lit(1).cast("bigint").alias("n"))
     best = tree_merge(entries, fan_in).select(F.lower(F.hex("digest")).alias("text_sha256"), "n_bytes", "check", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), F.col("n").alias("group_size"))
     out = rows.join(best, ["text_sha256", "n_bytes", "check"])
-    return out.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "check")
 
 
 def keep_exact(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """The rows of ``docs`` that stay, with all of its columns; of rows equal in doc_id and text one stays."""
-    found = exact_duplicates(docs, fan_in).where("kept")
-    digest, rank = fresh(docs, "digest"), fresh(docs, "rank")
-    keep = found.select(F.col("text_sha256").alias(fresh(docs, "kd")), F.col("doc_id").alias(fresh(docs, "kid")))
-    own = docs.withColumn(digest, F.sha2(normalised(), 256))
-    got = own.join(keep, (own[digest] == keep[fresh(docs, "kd")]) & own["doc_id"].eqNullSafe(keep[fresh(docs, "kid")]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(digest, "doc_id").orderBy(digest))
-    return got.withColumn(rank, first).where(F.col(rank) == 1).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all of its columns: of equal texts one row with the smallest doc_id.
+
+    Of rows equal in doc_id and text one stays, the same one on a rerun. Null and empty texts are one group; an empty table gives no rows.
+    """
+    found = _decided(docs, fan_in)
+    return keep_rows(docs, F.xxhash64(normalised()), found.select("doc_id", F.col("check").alias("key"), F.col("kept").alias("stays")))

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgledger.llm.common import bloom_has, bloom_of, fresh, map_arrow, text_or_empty, written
+from msgledger.llm.common import keep_rows, key_filter, map_arrow, passes, text_or_empty, written
 from msgledger.llm.near import near_components
 from msgledger.llm.shingles import Sketcher, WordHashes, shingle_set, words_of
 
@@ -78,13 +78,13 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, num:
         # copies are one row of each task before they meet
         one = sets.groupBy("node").agg(F.min(F.struct("rid", "h", "odd")).alias("one")).join(found, "node")
         one = written(one.select("node", "cluster", "blocks", "block", F.col("one.h").alias("h"), F.col("one.odd").alias("odd")), "members")
-        bits = docs.sparkSession.sparkContext.broadcast(bloom_of(one, "h"))
+        bits = docs.sparkSession.sparkContext.broadcast(key_filter(one, "h"))
 
         def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, seen = WordHashes(), set()
             for b in batches:
                 h = b.column(0).to_numpy()
-                at = np.flatnonzero(bloom_has(bits.value, h))
+                at = np.flatnonzero(passes(bits.value, h))
                 node, raw = [], []
                 for i, text in zip(at.tolist(), b.column(1).take(pa.array(at)).to_pylist(), strict=True):
                     if h[i] not in seen:
@@ -111,18 +111,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, num:
 
 
 def keep_near(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, all of ``docs``' columns. Of rows equal in doc_id and text one stays."""
-    keep = near_duplicates(docs, **params).where("chosen AND n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    return keep_chosen(docs, keep)
-
-
-def keep_chosen(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, hash of the text) is in ``keep(_id, _h)``, one for each; rows without words all stay."""
-    h, rank = fresh(docs, "h"), fresh(docs, "rank")
-    wordless = ~text_or_empty().rlike(r"[^\x20\x09-\x0D]")
-    cols = docs.columns
-    own = docs.where(~wordless).withColumn(h, F.xxhash64(text_or_empty()))
-    keep = keep.select(F.col("_id").alias(fresh(docs, "kid")), F.col("_h").alias(fresh(docs, "kh")))
-    found = own.join(keep, (own[h] == keep[fresh(docs, "kh")]) & own["doc_id"].eqNullSafe(keep[fresh(docs, "kid")]), "left_semi")
-    first = F.row_number().over(Window.partitionBy(h, "doc_id").orderBy(h))
-    return found.withColumn(rank, first).where(F.col(rank) == 1).select(*cols).union(docs.where(wordless).select(*cols))
+    """The rows of ``docs`` that stay: one of each component, all of ``docs``' columns; rows without words all stay.
+
+    Of rows equal in doc_id and text one stays, the same one on a rerun. An empty table gives no rows.
+    """
+    found = near_duplicates(docs, **params)
+    return keep_rows(docs, F.xxhash64(text_or_empty()), found.select("doc_id", F.col("h").alias("key"), F.col("chosen").alias("stays")))

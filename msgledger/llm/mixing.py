@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from msgledger.llm.common import fresh, shuffle_parts
+
 #: Target share of a source: its number of documents to this power, over the sum for all sources.
 ALPHA = 0.5
 SEED = 17
@@ -78,4 +80,9 @@ def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", **targets) ->
     own = copies(docs, seed, id_col, **targets).where("mix_copies > 0")
     each = own.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     order = F.substring(F.sha2(F.concat_ws("|", F.lit(f"{seed}|order"), F.col("mix_copy").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 256), 1, 16)
-    return each.withColumn("mix_order", order).orderBy("mix_order", id_col, "mix_copy")
+    each = each.withColumn("mix_order", order)
+    # the digests are uniform: their first 32 bits deal them into ranges without a sample, so the draws are made once
+    parts = shuffle_parts(docs.sparkSession)
+    to = fresh(each, "range")
+    each = each.withColumn(to, F.shiftright(F.conv(F.substring("mix_order", 1, 8), 16, 10).cast("bigint") * parts, 32).cast("int"))
+    return each.repartitionById(parts, to).sortWithinPartitions("mix_order", id_col, "mix_copy").drop(to)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgledger.llm.common import bloom_has, bloom_of, map_arrow, text_or_empty, written
+from msgledger.llm.common import key_filter, map_arrow, passes, text_or_empty, written
 from msgledger.llm.near import near_components
 from msgledger.llm.shingles import Sketcher, mix
 from msgledger.llm.tokens import Words, span_hash, span_shingles, words_of_column
@@ -140,14 +140,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, num: int = NU
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "para", "start", "rid")).alias("m")
 
     def fetch(members: DataFrame) -> DataFrame:
-        bits = docs.sparkSession.sparkContext.broadcast(bloom_of(members, "node"))
+        bits = docs.sparkSession.sparkContext.broadcast(key_filter(members, "node"))
 
         def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for b in batches:
                 for w in words_of_column(b.column(0)):
                     _, _, lo, hi, node, sums = _long_parts(w, min_words)
-                    at = [i for i in np.flatnonzero(bloom_has(bits.value, node)).tolist() if not (node[i] in seen or seen.add(node[i]))]
+                    at = [i for i in np.flatnonzero(passes(bits.value, node)).tolist() if not (node[i] in seen or seen.add(node[i]))]
                     if not at:
                         continue
                     s, n = span_shingles(sums, lo[at], hi[at])

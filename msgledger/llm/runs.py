@@ -11,9 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgledger.llm.common import grouped_map, map_arrow, shuffle_parts, sorted_groups, text_or_empty, written
+from msgledger.llm.common import grouped_map, key_filter, map_arrow, passes, shuffle_parts, sorted_groups, text_or_empty, written
 from msgledger.llm.paragraphs import repeated_passages
-from msgledger.llm.shingles import mix
 from msgledger.llm.tokens import Words, gram_hash, words_of_column
 
 #: A gram has 50 words; its seed is the smallest hash among the 26 half grams in it, so equal grams have equal seeds.
@@ -21,8 +20,6 @@ HALF = 25
 GRAM = 2 * HALF
 #: Bytes of text whose grams are looked at at once, of several documents or of one.
 CHUNK = 1 << 20
-#: Bits of the filter of repeated seeds: 16 or more for each, between these bounds; a fuller one passes more grams on, never fewer.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
 
 def grams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,34 +49,6 @@ def _seeds(doc: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u.view(np.int64), np.bincount(back, times, len(u)).astype(np.int64)
 
 
-def _at(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(keys.view(np.uint64))
-    return (x & np.uint64(bits - 1)).astype(np.int64), ((x >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _filter_of(seeds: DataFrame) -> np.ndarray:
-    """64-bit words of a filter with two bits for each seed."""
-    n = seeds.count()
-    bits = min(max(1 << (16 * n - 1).bit_length(), LEAST_BITS), MOST_BITS) if n else LEAST_BITS
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.concatenate(_at(b.column(0).to_numpy(), bits))
-            yield pa.record_batch([pa.array(at >> 6), pa.array(np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
-
-    got = map_arrow(seeds.select("seed"), own, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out
-
-
-def _has(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(keys), bool)
-    for at in _at(keys, 64 * len(words)):
-        ok &= (words[at >> 6] >> (at & 63)) & 1 == 1
-    return ok
-
-
 def _bases(doc: np.ndarray, pos: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """For each gram its own position, or that of an equal one before in the document that it overlaps."""
     order = np.lexsort((pos, gram, doc))
@@ -138,7 +107,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     seeds = map_arrow(docs.select(text_or_empty().alias("text")), sow, "seed bigint, n bigint")
     seeds = written(seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "seeds")
-    several = spark.sparkContext.broadcast(_filter_of(seeds))
+    several = spark.sparkContext.broadcast(key_filter(seeds, "seed"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each chunk a row of its places (``part`` is null), and one of its distinct grams for each part that compares them."""
@@ -147,7 +116,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         for b in batches:
             for w in words_of_column(b.column(2), limit):
                 doc, pos, gram, seed = grams(w)
-                at = np.flatnonzero(_has(several.value, seed))
+                at = np.flatnonzero(passes(several.value, seed))
                 if not len(at):
                     continue
                 doc, pos, gram = doc[at], pos[at], gram[at]
