@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -81,6 +82,12 @@ def frequent_words(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(text_or_empty().alias("text")), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _as_stored(docs: DataFrame) -> bool:
+    """Does each read give the same partitions? Rows of files do, unless a shuffle, or Python code, stands between."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return "FileScan" in plan and not re.search("Exchange|Python|Arrow|Pandas|Union|Sample|ExistingRDD", plan)
+
+
 def _encode(t, words: list[bytes]) -> list[np.ndarray]:
     out = []
     for lo in range(0, len(words), 1000):
@@ -132,10 +139,12 @@ def encode(docs: DataFrame, tokenizer_json: str) -> DataFrame:
 
     A null text counts as empty and has no ids; special tokens' strings in a text are those tokens, as in
     the library. Null and repeated doc_ids are kept, row by row; an empty table gives no rows. Columns besides
-    doc_id and text are not read. ``docs`` is read three times and must give each time the same partitions,
-    as a table does; otherwise it fails.
+    doc_id and text are not read. ``docs`` is read three times in the same partitions: it is written first unless
+    it is a table's rows as they stand there.
     """
     spark = docs.sparkSession
+    if not _as_stored(docs):
+        docs = written(docs.select("doc_id", "text"), "texts")
     sc = spark.sparkContext
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     tokenizer = sc.broadcast(Lazy(_tokenizer, tokenizer_json))
@@ -251,7 +260,8 @@ def pieces(tokenizer_json: str) -> list[str]:
 def decode(encoded: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with ``out`` in place of ``ids``: the pieces of the ids, joined as the library joins those of a tokenizer without decoder.
 
-    The piece table is broadcast (its size is the vocabulary's) and joined by id in each batch. Null ids give null, no ids an empty text.
+    The piece table is broadcast (its size is the vocabulary's) and joined by id in each batch, where ids are the pieces' places. Null
+    ids give null, no ids an empty text.
     """
     table = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer_json))
     fields = [f for f in encoded.schema.fields if f.name != ids]
@@ -259,12 +269,15 @@ def decode(encoded: DataFrame, tokenizer_json: str, ids: str = "ids", out: str =
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` string"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = table.value
+        piece = pa.array(table.value, pa.string())
         for b in batches:
-            lists = b.column(b.schema.get_field_index(ids))
             for lo in range(0, b.num_rows, 512):
-                texts = [None if x is None else " ".join([piece[i] for i in x]) for x in (v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else None for v in lists.slice(lo, 512))]
                 part = b.slice(lo, 512)
-                yield pa.record_batch([part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(texts, pa.string())], names=[*names, out])
+                lists = part.column(part.schema.get_field_index(ids))
+                found = pa.compute.take(piece, lists.flatten())
+                ends = np.append(0, np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)))
+                texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ")
+                texts = pa.compute.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.record_batch([part.column(part.schema.get_field_index(n)) for n in names] + [texts], names=[*names, out])
 
     return map_arrow(encoded, joined, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,11 +19,14 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a new one if all run on this machine."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="msgledger-"))
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="msgledger-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get()
 

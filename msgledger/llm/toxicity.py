@@ -10,7 +10,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgledger.llm.common import map_arrow, text_or_empty
@@ -18,6 +18,8 @@ from msgledger.llm.shingles import WordHashes, shingle_set, words_of
 
 #: Labelled documents of each label that the model is fitted on; chosen by a hash of the doc_id.
 SAMPLE = 4000
+#: Bytes of one such text, and of all of a label's; longer texts teach nothing, but are scored like others.
+TEXT_BYTES, LABEL_BYTES = 1 << 20, 1 << 26
 #: Bytes of a dictionary, bytes of a window and of the overlap of two windows.
 DICTIONARY, WINDOW, OVERLAP = 4096, 48, 14
 #: Lengths of the word beginnings that a dictionary may hold.
@@ -222,14 +224,16 @@ def held_out(folds: int, fold: int):
 def sample(docs: DataFrame, labels: DataFrame, label: str, learnable, most: int = SAMPLE) -> tuple[list[str], np.ndarray, tuple[float, float]]:
     """Texts and labels of ``most`` learnable rows of each label at most, those with the smallest hash of the doc_id, and how many rows each label has.
 
-    Only the sample's texts reach the driver, one for each doc_id (the smallest). Rows with a null doc_id, text or
-    label teach nothing; of differing labels of a doc_id the larger counts.
+    Only the sample's texts reach the driver, one for each doc_id (the smallest), LABEL_BYTES of each label at most. Rows with a null
+    doc_id, text or label, and texts over TEXT_BYTES, teach nothing; of differing labels of a doc_id the larger counts.
     """
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).where("y IN (0, 1)").where(learnable)
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = own.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).union(own.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     # one text of each doc_id, however often it occurs
-    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = docs.where(F.octet_length("text") <= TEXT_BYTES).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of ``most`` rows
+    found = found.withColumn("upto", upto).where(F.col("upto") <= LABEL_BYTES).drop("upto")
     rows = found.toArrow().to_pydict()
     order = sorted(range(len(rows["y"])), key=lambda i: rows["doc_id"][i])
     return [rows["text"][i] for i in order], np.array([rows["y"][i] for i in order], int), (counts.get(0, 0), counts.get(1, 0))

@@ -35,11 +35,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def _suffixes(host: Column) -> Column:
-    """The host itself and what follows each of its dots; for an empty host none."""
-    labels = F.split(host, "\\.")
-    n = F.size(labels)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")))
+def _suffixes(host: Column, most: int) -> Column:
+    """The last 1 to ``most`` labels of the host (as many as it has), joined by dots; for an empty host none."""
+    last = F.transform(F.array(F.split(host, "\\.")), lambda labels: F.slice(labels, F.greatest(F.size(labels) - (most - 1), F.lit(1)), F.lit(most)))[0]
+    every = F.transform(F.array(last), lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.lit(most)), ".")))[0]
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(every)
 
 
 def _prefixes(path: Column, lengths: Column) -> Column:
@@ -60,8 +60,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     empty host and path, which no rule fits; neither does a rule whose host is null or empty. Repeated
     rows, null ids and repeated rules are allowed; other columns are not read; an empty table gives no rows.
 
-    Each URL is expanded into its host suffixes times the path prefixes of lengths that rules have (a list
-    of distinct lengths, bounded by the longest path of a rule). The expressions are joined on the first
+    Each URL is expanded into its host suffixes, of as many labels as a rule has at most, times the path prefixes of lengths
+    that rules have (a list of distinct lengths, bounded by the longest path of a rule). The expressions are joined on the first
     PREFIX hex digits of their digests and confirmed on the rest. Up to BROADCAST_RULES rules are broadcast; with
     more, the join shuffles, where adaptive execution splits frequent hosts. Matches of a row meet on a
     row number, so no host's share of the rows matters.
@@ -71,6 +71,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     # of equal expressions "block" counts
     table = table.groupBy("digest").agg(F.first("host").alias("r_host"), F.first("path").alias("r_path"), F.max("action").alias("action"))
     table = table.select(F.substring("digest", 1, PREFIX).alias("r_prefix"), F.col("digest").alias("r_digest"), F.concat("r_host", "r_path").alias("rule"), F.length("r_host").alias("host_length"), "action")
+    most = rules.agg(F.max(F.size(F.split("host", "\\.")))).first()[0] or 1
     lengths = sorted(r[0] for r in rules.select(F.length(F.coalesce("path", F.lit(""))).alias("n")).distinct().collect())
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         table = F.broadcast(table)
@@ -78,7 +79,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     host, path = host_and_path(F.col("url"))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     base = base.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
-    tries = F.flatten(F.transform(_suffixes(F.col("host")), lambda h: F.transform(_prefixes(F.col("path"), F.array(*map(F.lit, lengths)).cast("array<int>")), lambda p: _digest(h, p))))
+    tries = F.flatten(F.transform(_suffixes(F.col("host"), most), lambda h: F.transform(_prefixes(F.col("path"), F.array(*map(F.lit, lengths)).cast("array<int>")), lambda p: _digest(h, p))))
     # a row's whole expansion stays in its task: matches are narrowed to the best there, before rows meet on their number
     found = base.select("page_id", "host", "path", "row", F.explode_outer(tries).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX))
     hit = found.join(table, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")), "left")
