@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -148,9 +147,9 @@ def keep_rows(docs: DataFrame, key: Column, decided: DataFrame) -> DataFrame:
     gone = written(gone.select(F.col("key").alias(k), F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias(own_id), "any"), "gone")
     bits = spark.sparkContext.broadcast(key_filter(gone, k))
 
-    @F.pandas_udf("boolean")
-    def asked(keys: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits.value, keys.to_numpy()))
+    @F.arrow_udf("boolean")
+    def asked(keys: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, keys.to_numpy(zero_copy_only=False)))
 
     own = docs.withColumn(k, key)
     some = own.where(asked(F.col(k))).withColumn(null, F.col("doc_id").isNull()).withColumn(own_id, F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint"))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from msgledger.llm.common import keep_rows, key_filter, map_arrow, passes, text_or_empty, written
 from msgledger.llm.near import near_components
-from msgledger.llm.shingles import Sketcher, WordHashes, shingle_set, words_of
+from msgledger.llm.shingles import Sketcher
+from msgledger.llm.tokens import Words, span_shingles, words_of_column
 
 #: 28 bands of 6 samples: two sets of similarity 0.85 share none with a chance of 2e-6, of 0.3 share one with a chance of 0.02.
 BANDS, ROWS = 28, 6
@@ -24,34 +25,45 @@ def _node(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def _sets(w: Words) -> list[np.ndarray]:
+    """Sorted distinct hashes of each document's shingles; without words none."""
+    ends = w.offset
+    has = np.flatnonzero(w.size)
+    s, n = span_shingles(w.sums(), ends[has], ends[has + 1])
+    out = [np.empty(0, np.uint64)] * len(w.size)
+    for i, x in zip(has.tolist(), np.split(s, np.cumsum(n)[:-1]) if len(has) else [], strict=True):
+        out[i] = np.unique(x)
+    return out
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, h, n_shingles, digest, node, bands, odd)``, a row for each row of ``docs``.
 
     ``h`` is xxhash64 of the text and ``digest`` 128 bits over the shingle set; documents of one set are
-    one ``node`` (64 of these bits). A set that a task meets again isn't sampled again.
+    one ``node`` (64 of these bits). A set that a chunk of documents has again isn't sampled again.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sk = WordHashes(), Sketcher(bands, rows)
+        sk = Sketcher(bands, rows)
         for b in batches:
-            n, digest, node, keys, odd = [], [], [], [], []
-            known: dict[bytes, tuple] = {}
-            for text in b.column(2).to_pylist():
-                s = shingle_set(words_of(text), hashes)
-                d = xxhash.xxh3_128_digest(s)
-                if len(s) and d not in known:
-                    m = sk.samples(s)
-                    known[d] = sk.band_keys(m), sk.odd_sketch(m)
-                own = known.get(d, (np.empty(0, np.int64), None))
-                n.append(len(s))
-                digest.append(d if len(s) else None)
-                node.append(_node(d) if len(s) else None)
-                keys.append(own[0])
-                odd.append(own[1])
-            yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())],
-                names=["doc_id", "h", "n_shingles", "digest", "node", "bands", "odd"],
-            )
+            for w in words_of_column(b.column(2)):
+                sets = _sets(w)
+                digest = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
+                n = np.array([len(s) for s in sets], np.int64)
+                first: dict[bytes, int] = {}
+                own = [i for i, d in enumerate(digest) if d is not None and first.setdefault(d, i) == i]
+                keys, odd = np.empty((0, bands), np.int64), []
+                if own:
+                    m = sk.many_samples(np.concatenate([sets[i] for i in own]), n[own])
+                    keys, odd = sk.many_band_keys(m), [sk.odd_sketch(x) for x in m]
+                row = {i: k for k, i in enumerate(own)}
+                of = np.array([row[first[d]] for d in digest if d is not None], np.int64)
+                ends = np.append(0, np.cumsum((n > 0) * bands)).astype(np.int32)
+                ids, h = (b.column(c).slice(w.first, len(n)) for c in (0, 1))
+                yield pa.record_batch(
+                    [ids, h, pa.array(n), pa.array(digest, pa.binary()), pa.array([None if d is None else _node(d) for d in digest], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[of].ravel())), pa.array([None if d is None else odd[row[first[d]]] for d in digest], pa.binary())],
+                    names=["doc_id", "h", "n_shingles", "digest", "node", "bands", "odd"],
+                )
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"))
     return map_arrow(base, sign, "doc_id bigint, h bigint, n_shingles bigint, digest binary, node bigint, bands array<bigint>, odd binary")
@@ -81,19 +93,13 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, num:
         bits = docs.sparkSession.sparkContext.broadcast(key_filter(one, "h"))
 
         def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, seen = WordHashes(), set()
+            seen: set[int] = set()
             for b in batches:
                 h = b.column(0).to_numpy()
-                at = np.flatnonzero(passes(bits.value, h))
-                node, raw = [], []
-                for i, text in zip(at.tolist(), b.column(1).take(pa.array(at)).to_pylist(), strict=True):
-                    if h[i] not in seen:
-                        seen.add(h[i])
-                        s = shingle_set(words_of(text), hashes)
-                        if len(s):
-                            node.append(_node(xxhash.xxh3_128_digest(s)))
-                            raw.append(s.tobytes())
-                yield pa.record_batch([pa.array(node, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
+                at = [i for i in np.flatnonzero(passes(bits.value, h)).tolist() if not (h[i] in seen or seen.add(h[i]))]
+                for w in words_of_column(b.column(1).take(pa.array(at, pa.int64()))):
+                    sets = [s for s in _sets(w) if len(s)]
+                    yield pa.record_batch([pa.array([_node(xxhash.xxh3_128_digest(s)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
 
         text = docs.select(F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"))
         # one set of each node, whatever number of tasks met it
