@@ -65,13 +65,15 @@ def from_hex_list(text: Column) -> Column:
     """Struct of ``offsets`` and ``ok``.
 
     A list that doesn't end in a comma is an error. Empty parts are skipped; from the first bad part on
-    nothing is decoded, and ``ok`` is false. Zero and negative numbers are kept.
+    nothing is decoded, and ``ok`` is false. Zero and negative numbers are kept; parts beyond 64 bits are bad.
     """
     parts = F.filter(F.split(text, ","), lambda x: x != "")
-    good = lambda x: x.rlike(r"^[+-]?[0-9a-fA-F]{1,15}$")
+    good = lambda x: x.rlike(r"^(?:[+-]?0*(?:[0-9a-fA-F]{1,15}|[0-7][0-9a-fA-F]{15})|-0*8000000000000000)$")
     bad = F.coalesce(F.array_position(F.transform(parts, lambda x: ~good(x)), True), F.lit(0))
     usable = F.when(bad > 0, F.slice(parts, F.lit(1), (bad - 1).cast("int"))).otherwise(parts)
-    number = lambda x: F.conv(F.regexp_replace(x, r"^[+-]", ""), 16, 10).cast("bigint") * F.when(x.startswith("-"), -1).otherwise(1)
+    # as unsigned 64 bits, of which the cast of the least number's negative would not fit
+    size = lambda x: F.conv(F.regexp_replace(x, r"^[+-]?0*(?=.)", ""), 16, 10).cast("decimal(20,0)")
+    number = lambda x: F.when(x.startswith("-"), -size(x)).otherwise(size(x)).cast("bigint")
     ends = text.endswith(",")
     empty = F.array().cast("array<bigint>")
     return F.struct(F.when(ends, F.transform(usable, number)).otherwise(empty).alias("offsets"), F.coalesce(ends & (bad == 0), F.lit(False)).alias("ok"))

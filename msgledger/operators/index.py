@@ -38,8 +38,10 @@ def entries(index: DataFrame) -> DataFrame:
 
 
 def lookup(index: DataFrame, hash_: str, width: int = WIDTH) -> DataFrame:
-    """The offsets of one hash's key. Prefix and key are both given, so that partitions and row groups are skipped."""
+    """The offsets of one hash's key. Prefix and key are both given, and of an index of ``write`` its directory, so that files and row groups are skipped."""
     k = hash_[:width]
+    if "pfx_hi" in index.columns:
+        index = index.where(F.col("pfx_hi").cast("string") == k[:1])
     return index.where((F.col("pfx") == k[: S.ROUTE_CHARS]) & (F.col("key") == k[S.ROUTE_CHARS :])).select("pfx", "key", "offsets").limit(1)
 
 

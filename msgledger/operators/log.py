@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from msgledger import schema as S
 from msgledger.functions import codec
@@ -16,7 +13,7 @@ from msgledger.functions import codec
 #: Records of one bucket of the prefix sum; a bucket is one window's partition.
 BUCKET = 250_000
 #: Quantiles that the buckets are cut at; more records make the buckets larger.
-CUTS = 4096
+CUTS = 65_536
 
 
 def status(hash_: Column, token: Column) -> Column:
@@ -51,42 +48,42 @@ def with_lines(articles: DataFrame) -> DataFrame:
     return articles.withColumn("line", codec.line(c("hash"), c("token"), c("arrival"), c("expires"), c("date")))
 
 
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def with_offsets(lines: DataFrame, order: str = "seq", base: int = S.FIRST_OFFSET, bucket: int = BUCKET) -> DataFrame:
-    """``lines`` with the byte ``offset`` of each, in the order of a column without repeats.
+    """``lines`` with the byte ``offset`` of each, in the order of a numeric column without repeats or nulls.
 
     Two phases instead of one window over all rows: quantiles of the order cut it into buckets of about
     ``bucket`` records, CUTS at most, each bucket sums its own lines, and the buckets' totals, one row each,
     are added up and broadcast. Nothing but the count and the quantiles reaches the driver.
     """
-    sized = lines.withColumn("_bytes", codec.line_bytes(F.col("line")))
-    n, cuts = lines.agg(F.count("*"), F.percentile_approx(order, [i / CUTS for i in range(1, CUTS)], 10 * CUTS)).first()
+    size, to, own, at, start = _fresh(lines, "bytes", "bucket", "own", "at", "start")
+    sized = lines.withColumn(size, codec.line_bytes(F.col("line")))
+    n = lines.count()
     parts = max(1, min(CUTS, -(-n // bucket)))
+    before = lambda col, w: F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if parts == 1:
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return sized.withColumn("offset", F.coalesce(F.sum("_bytes").over(w), F.lit(0)) + F.lit(base)).drop("_bytes")
-    cut = _bucketed(sized, order, np.array(sorted({cuts[i * CUTS // parts - 1] for i in range(1, parts)})))
-    totals = cut.groupBy("_bucket").agg(F.sum("_bytes").alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select(F.col("_bucket").alias("_b"), before.alias("_start"))
-    w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    own = cut.withColumn("_own", F.coalesce(F.sum("_bytes").over(w), F.lit(0)))
-    placed = own.join(F.broadcast(starts), F.col("_bucket") == F.col("_b"))
-    return placed.withColumn("offset", F.col("_start") + F.col("_own") + F.lit(base)).drop("_bytes", "_bucket", "_own", "_b", "_start")
-
-
-def _bucketed(rows: DataFrame, order: str, cuts: np.ndarray) -> DataFrame:
-    """``rows`` with ``_bucket``: how many of the cuts are smaller, by binary search.
-
-    A higher-order function over an array of the cuts would do, but Catalyst infers filters from it that
-    refer to columns of the join's other side.
-    """
+        return sized.withColumn("offset", before(size, Window.orderBy(order)) + F.lit(base)).drop(size)
+    cuts = np.array(sorted(set(lines.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0])))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.searchsorted(cuts, b.column(b.schema.get_field_index(order)).to_numpy(zero_copy_only=False))
-            yield b.append_column("_bucket", pa.array(at, pa.int64()))
+    @F.arrow_udf("bigint")  # binary search; the column alone goes through Arrow
+    def find(x: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, x.to_numpy(zero_copy_only=False)), pa.int64())
 
-    return rows.mapInArrow(find, T.StructType([*rows.schema.fields, T.StructField("_bucket", T.LongType())]))
+    cut = sized.withColumn(to, find(F.col(order)))
+    starts = cut.groupBy(to).agg(F.sum(size).alias(own)).select(F.col(to).alias(at), before(own, Window.orderBy(to)).alias(start))
+    placed = cut.withColumn(own, before(size, Window.partitionBy(to).orderBy(order))).join(F.broadcast(starts), F.col(to) == F.col(at))
+    return placed.withColumn("offset", F.col(start) + F.col(own) + F.lit(base)).drop(size, to, own, at, start)
 
 
 def totals(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from msgledger import schema as S
@@ -18,11 +18,16 @@ def export(lines: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``(offset, line)`` of one log file, header included; splits are read in parallel and offsets are the bytes where lines begin."""
-    rdd = spark.sparkContext.newAPIHadoopFile(
-        path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text"
-    )
-    return spark.createDataFrame(rdd, S.LOG_LINE)
+    """``(offset, line)`` of one log file, header included, whose lines end in a line feed alone.
+
+    Splits are read in parallel: each adds up its own lines in the order they are read, and the splits' totals, one row each, are added up and broadcast.
+    """
+    lines = spark.read.text(path).select("_metadata.file_block_start", F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"), (F.octet_length("value") + 1).cast("bigint").alias("bytes"))
+    before = lambda col, w: F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = lines.groupBy("file_block_start").agg(F.sum("bytes").alias("total"))
+    starts = totals.select(F.col("file_block_start").alias("block"), before("total", Window.orderBy("file_block_start")).alias("start"))
+    own = lines.withColumn("own", before("bytes", Window.partitionBy("file_block_start").orderBy("at")))
+    return own.join(F.broadcast(starts), F.col("file_block_start") == F.col("block")).select((F.col("start") + F.col("own")).alias("offset"), "line")
 
 
 def header(log: DataFrame) -> DataFrame:

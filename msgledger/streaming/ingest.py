@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
@@ -16,22 +16,42 @@ from msgledger.operators import index, log, lookup
 LOGGED = "seq bigint, hash string, token string, arrival bigint, expires bigint, date bigint, line string, offset bigint"
 
 
+#: Hashes of a batch that are broadcast to the log's scan (64 bytes each); a larger batch is joined by shuffle.
+BROADCAST_HASHES = 1_000_000
+#: The period of the batch ticker and its floor, in milliseconds.
+BATCH_MS, LEAST_MS = 5120, 4
+
+
 @dataclass
 class Ledger:
     """A log as a Parquet table in a folder. One writer at a time; readers see whole batches."""
 
     spark: SparkSession
     path: str
+    #: Where the log ends, once it is known: the log is read for it by the first batch of a writer alone.
+    end: int | None = field(default=None, init=False)
 
     def read(self) -> DataFrame:
         try:
             return self.spark.read.schema(LOGGED).parquet(f"{self.path}/log")
-        except AnalysisException:  # nothing was written yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], LOGGED)
 
     def next_offset(self) -> int:
-        last = self.read().agg(F.max(F.col("offset") + codec.line_bytes(F.col("line")))).first()[0]
-        return S.FIRST_OFFSET if last is None else last
+        if self.end is None:
+            last = self.read().agg(F.max(F.col("offset") + codec.line_bytes(F.col("line")))).first()[0]
+            self.end = S.FIRST_OFFSET if last is None else last
+        return self.end
+
+    def new(self, offers: DataFrame) -> DataFrame:
+        """What of a batch the log lacks, each hash once. A batch of bounded size goes to the log's hashes, whose scan isn't shuffled."""
+        first = lookup.first_seen(offers)
+        hashes = first.select("hash")
+        few = hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES
+        known = self.read().select("hash").join(F.broadcast(hashes) if few else hashes, "hash", "left_semi")
+        return lookup.unseen(first, known)
 
     def append(self, articles: DataFrame) -> None:
         """Write what is new of ``articles(seq, hash, token, ...)``, with line and offset.
@@ -39,14 +59,22 @@ class Ledger:
         A batch that comes again adds nothing, as its hashes are known then.
         """
         valid = log.validate(articles).where("status = 0").drop("status")
-        fresh = lookup.check_then_add(valid, self.read())
-        placed = log.with_offsets(log.with_lines(fresh), base=self.next_offset())
+        base = self.next_offset()
+        placed = log.with_offsets(log.with_lines(self.new(valid)), base=base)
         columns = [f.split()[0] for f in LOGGED.split(", ")]
-        placed.select(*columns).write.mode("append").parquet(f"{self.path}/log")
+        written = Observation()
+        self.end = None  # unknown while the batch is being written
+        placed.select(*columns).observe(written, F.max(F.col("offset") + codec.line_bytes(F.col("line"))).alias("end")).write.mode("append").parquet(f"{self.path}/log")
+        self.end = written.get["end"] or base
 
     def index(self) -> DataFrame:
         return index.build(self.read())
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Append a stream's batches; ``trigger`` as for ``DataStreamWriter.trigger``."""
+        """Append a stream's batches; ``trigger`` as for ``DataStreamWriter.trigger``, all that is there by default, ``ticker()`` for a running stream."""
         return stream.writeStream.foreachBatch(lambda batch, _: self.append(batch)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ticker(millis: int = BATCH_MS) -> dict[str, str]:
+    """The trigger of a batch every so many milliseconds, LEAST_MS at least."""
+    return {"processingTime": f"{max(millis, LEAST_MS)} milliseconds"}
