@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +14,7 @@ from msgledger.functions import codec, routing
 from msgledger.operators import acl, caches, index, log, lookup, stats, ttl
 from msgledger.plans.views import ARTS, LINES, OFFERS, SECONDS, arts, events, index_sql, offers, table
 from msgledger.sources import logfile, wire
+from msgledger.streaming.ingest import Ledger
 
 c = F.col
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +117,15 @@ def line_parse_roundtrip(spark, sf_dir):
     return lines.select("seq", "p.*", "bad")
 
 
+@query(f"{WITH_LOG} SELECT seq, seq % 10 < 2 AS bad, CASE WHEN seq % 10 > 2 THEN hash END AS hash FROM lines")
+def bad_lines(spark, sf_dir):
+    """Lines without their brace, empty ones, and ones whose hash lacks a character, which are readable and have none."""
+    i = c("seq") % 10
+    line = F.when(i == 0, F.expr("substring(line, 2)")).when(i == 1, "").when(i == 2, F.concat(F.lit("{"), F.expr("substring(line, 3)"))).otherwise(c("line"))
+    lines = log.with_lines(arts(spark, sf_dir)).select("seq", line.alias("line"))
+    return lines.select("seq", codec.line_is_bad(c("line")).alias("bad"), codec.line_hash(c("line")).alias("hash"))
+
+
 @query(f'{WITH_LOG} SELECT "offset", line FROM logged WHERE "offset" = 4096 + 102 * 100')
 def line_at_offset(spark, sf_dir):
     return log.line_at(logged(spark, sf_dir), S.FIRST_OFFSET + 102 * 100)
@@ -126,9 +137,10 @@ def hash_at_offset(spark, sf_dir):
     return log.hash_at(logged(spark, sf_dir), requests)
 
 
-@query("SELECT 4095::INT AS bytes, 3::INT AS ka, 7::INT AS kl")
+@query("SELECT DISTINCT 4095::INT AS bytes, (user_id % 16)::INT AS ka, (event_id % 64)::INT AS kl FROM events")
 def header_roundtrip(spark, sf_dir):
-    header = spark.range(1).select(codec.encode_header(F.lit(3), F.lit(7)).alias("h")).select(F.octet_length("h").alias("bytes"), codec.decode_header(c("h")).alias("s"))
+    settings = events(spark, sf_dir).select((c("user_id") % 16).cast("int").alias("ka"), (c("event_id") % 64).cast("int").alias("kl")).distinct()
+    header = settings.select(codec.encode_header(c("ka"), c("kl")).alias("h")).select(F.octet_length("h").alias("bytes"), codec.decode_header(c("h")).alias("s"))
     return header.select("bytes", c("s.Ka").alias("ka"), c("s.Kl").alias("kl"))
 
 
@@ -269,6 +281,89 @@ def ttl_dedup(spark, sf_dir):
     return ttl.admitted(own, DAY_US)
 
 
+QUARTER_US = DAY_US // 4
+KEYED = f"""{OFFERS}, e AS (SELECT o.seq, CASE WHEN o.seq % 50 = 0 THEN '' ELSE o.hash END AS "key", epoch_us(ts) AS micros, (o.seq % 7 + 1)::INT AS value
+  FROM offers o JOIN events ON event_id = seq)"""
+
+
+def lives_sql(source: str, ttl_us: int) -> str:
+    """``s``: the rows of a table (seq, key, micros) that are let in, as (key, since, first)."""
+    return f"""a AS (SELECT "key", min(micros) AS micros FROM {source} GROUP BY "key"
+  UNION ALL SELECT "key", (SELECT min(k.micros) FROM {source} k WHERE k."key" = a."key" AND k.micros >= a.micros + {ttl_us}) FROM a WHERE micros IS NOT NULL),
+s AS (SELECT k."key", k.micros AS since, min(k.seq) AS first FROM a JOIN {source} k ON a."key" = k."key" AND a.micros = k.micros GROUP BY ALL)"""
+
+
+def keyed(spark, sf_dir):
+    """Offers as (seq, key, micros, value): keys are hashes, each fiftieth is empty."""
+    key = F.when(c("seq") % 50 == 0, "").otherwise(c("hash")).alias("key")
+    times = events(spark, sf_dir).select(c("event_id").alias("seq"), F.unix_micros("ts").alias("micros"))
+    return offers(spark, sf_dir).join(times, "seq").select("seq", key, "micros", (c("seq") % 7 + 1).cast("int").alias("value"))
+
+
+@query(
+    f"""WITH RECURSIVE {KEYED}, k AS (SELECT * FROM e WHERE "key" <> ''), {lives_sql("k", QUARTER_US)}
+SELECT k.seq, k."key", CASE WHEN k.seq = s.first THEN 241 ELSE f.value END::INT AS answer FROM k ASOF JOIN s ON k."key" = s."key" AND k.micros >= s.since JOIN k f ON f.seq = s.first
+UNION ALL SELECT seq, "key", -999 FROM e WHERE "key" = ''"""
+)
+def ttl_answers(spark, sf_dir):
+    return ttl.answers(keyed(spark, sf_dir), QUARTER_US)
+
+
+@query(
+    f"""WITH {KEYED}, k AS (SELECT *, coalesce(micros - lag(micros) OVER (PARTITION BY "key" ORDER BY micros, seq) >= {QUARTER_US}, true) AS new FROM e WHERE "key" <> ''),
+n AS (SELECT *, max(CASE WHEN new THEN micros END) OVER (PARTITION BY "key" ORDER BY micros, seq) AS since FROM k),
+f AS (SELECT "key", micros AS since, value FROM k WHERE new)
+SELECT seq, n."key", CASE WHEN new THEN 241 ELSE f.value END::INT AS answer FROM n JOIN f ON n."key" = f."key" AND n.since = f.since UNION ALL SELECT seq, "key", -999 FROM e WHERE "key" = ''"""
+)
+def ttl_extend(spark, sf_dir):
+    return ttl.extended(keyed(spark, sf_dir), QUARTER_US)
+
+
+#: Sets are the even events, gets the odd ones; keys are users.
+CACHED = f"""{OFFERS}, u AS (SELECT event_id AS seq, user_id AS "key", epoch_us(ts) AS micros, hash FROM events JOIN offers ON event_id = seq),
+k AS (SELECT * FROM u WHERE seq % 2 = 0), g AS (SELECT * FROM u WHERE seq % 2 = 1), {lives_sql("k", DAY_US)},
+asked AS (SELECT g.seq, g."key", g.micros, CASE WHEN g.micros < since + {DAY_US} THEN since END AS since, first FROM g ASOF LEFT JOIN s ON g."key" = s."key" AND g.micros >= s.since)"""
+
+
+def sets_and_gets(spark, sf_dir):
+    own = events(spark, sf_dir).select(c("event_id").alias("seq"), c("user_id").alias("key"), F.unix_micros("ts").alias("micros"))
+    own = own.join(offers(spark, sf_dir).select("seq", "hash"), "seq")
+    return own.where("seq % 2 = 0"), own.where("seq % 2 = 1")
+
+
+@query(f"""WITH RECURSIVE {CACHED} SELECT asked.seq, asked."key", CASE WHEN since IS NOT NULL THEN k.hash END AS value FROM asked LEFT JOIN k ON k.seq = asked.first""")
+def l2_ttl(spark, sf_dir):
+    return ttl.cached_at(*sets_and_gets(spark, sf_dir), F.min_by("hash", F.struct("micros", "seq")), DAY_US)
+
+
+@query(
+    f"""WITH RECURSIVE {CACHED}, l AS (SELECT k.seq, k."key", k.micros, s.since FROM k ASOF JOIN s ON k."key" = s."key" AND k.micros >= s.since)
+SELECT asked.seq, asked."key", coalesce(string_agg(l.seq::VARCHAR, ',' ORDER BY l.seq), '') AS value
+FROM asked LEFT JOIN l ON asked."key" = l."key" AND asked.since = l.since AND l.micros <= asked.micros GROUP BY ALL"""
+)
+def l3_ttl(spark, sf_dir):
+    sets, gets = sets_and_gets(spark, sf_dir)
+    own = F.array_join(F.array_sort(F.collect_set(F.when(c("since").isNotNull(), c("seq")))).cast("array<string>"), ",")
+    return ttl.cached_at(sets, gets, own, DAY_US)
+
+
+@query(
+    f"""WITH {OFFERS}, acc AS (SELECT * FROM offers QUALIFY row_number() OVER (PARTITION BY hash ORDER BY seq) = 1),
+l AS (SELECT *, '{{' || hash || '}}' || chr(9) || printf('%010d', arrival) || '~----------~' || printf('%010d', arrival) || chr(9) || 'F' AS line FROM acc)
+SELECT seq, hash, (4096 + coalesce(sum(strlen(line) + 1) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", hash[1:3] AS pfx, hash[4:10] AS "key" FROM l"""
+)
+def ingest_batches(spark, sf_dir):
+    """Three batches of offers, the second with half of the first again, into a new ledger; what it holds, and each line's index entry."""
+    ledger = Ledger(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/ledger-{uuid.uuid4().hex}")
+    own = offers(spark, sf_dir).withColumns({"token": F.lit("F"), "expires": F.lit(0).cast("bigint"), "date": c("arrival")})
+    last = own.agg(F.max("seq")).first()[0] or 0
+    cuts = [0, last // 3, 2 * last // 3, last + 1]
+    for lo, hi in ((0, cuts[1]), (cuts[1] // 2, cuts[2]), (cuts[2], cuts[3])):
+        ledger.append(own.where((c("seq") >= lo) & (c("seq") < hi)))
+    placed = index.entries(ledger.index())
+    return ledger.read().select("seq", "hash", "offset").join(placed, "offset").select("seq", "hash", "offset", "pfx", "key")
+
+
 # ---------------------------------------------------------------- shards
 @query("SELECT * FROM (VALUES (0, 1, 4096, 100000, '1 DB with 4096 tables'), (1, 4096, 1, 500, '4096 separate DBs'), (2, 16, 256, 2000, '16 DBs with 256 tables each'), (3, 64, 64, 1000, '64 DBs with 64 tables each'), (4, 128, 32, 500, '128 DBs with 32 tables each'), (5, 512, 8, 250, '512 DBs with 8 tables each')) t(mode, dbs, tables, cache_pages, text)")
 def shard_config(spark, sf_dir):
@@ -333,6 +428,11 @@ def counter_read(spark, sf_dir):
     return stats.counter(named, "error").select(c("value").alias("errors")).join(stats.counter(named, "no such").select(c("value").alias("missing")))
 
 
+@query(f"WITH {ARTS} SELECT token AS name, sum(seq % 5)::BIGINT AS value FROM arts GROUP BY token")
+def counters_add(spark, sf_dir):
+    return stats.counters(arts(spark, sf_dir).select(c("token").alias("name"), "seq"), c("seq") % 5)
+
+
 @query(f"WITH {ARTS} SELECT token AS name, count(*) AS value FROM arts GROUP BY token")
 def counters_over_shards(spark, sf_dir):
     sharded = arts(spark, sf_dir).groupBy(routing.route(c("hash")).alias("shard"), c("token").alias("name")).agg(F.count("*").alias("value"))
@@ -390,6 +490,12 @@ def l3_append(spark, sf_dir):
     return appended(spark, sf_dir).select("key", F.array_join(merged.cast("array<string>"), ",").alias("merged"))
 
 
+@query(f"""WITH {OFFERS} SELECT hash[1:3] AS "key", max(seq) AS value, count(*) = 1 AS cached FROM offers GROUP BY 1""")
+def l3_contains(spark, sf_dir):
+    latest = F.greatest(F.array_max("cached"), F.array_max("new"))
+    return appended(spark, sf_dir).select("key", latest.alias("value"), caches.contains(c("cached"), latest).alias("cached"))
+
+
 @query()
 def l3_append_exact(spark, sf_dir):
     return appended(spark, sf_dir).select("key", caches.append_offsets_stopping(c("cached"), c("new")).alias("merged"))
@@ -412,9 +518,10 @@ def epoch_stamps(spark, sf_dir):
     return events(spark, sf_dir).select(c("event_id").alias("seq"), codec.epochs(c("ts")).alias("e")).select("seq", "e.*")
 
 
-@query("SELECT event_id AS seq, true AS inside FROM events")
+@query("SELECT 3::INT AS least, 9::INT AS most, 7::BIGINT AS kinds, count(*) AS n FROM events")
 def random_between(spark, sf_dir):
-    return events(spark, sf_dir).select(c("event_id").alias("seq"), codec.random_int(3, 9, 1).between(3, 9).alias("inside"))
+    drawn = events(spark, sf_dir).select(codec.random_int(3, 9, 1).alias("x"))
+    return drawn.agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count_distinct("x").alias("kinds"), F.count("*").alias("n"))
 
 
 @query("SELECT i AS seq, sha256('test-message-' || i || '-12345678901234567890') AS hash, 'F' AS token, 1700000000::BIGINT AS arrival, 1702592000::BIGINT AS expires, 1700000000::BIGINT AS date FROM range(10000) t(i)")
@@ -428,7 +535,10 @@ def wire_encode(spark, sf_dir):
     return wire.encoded(arts(spark, sf_dir)).select("seq", "line")
 
 
-@query()
+@query(
+    f"""WITH {ARTS}, p AS (SELECT CASE seq % 10 WHEN 0 THEN 401 WHEN 1 THEN 402 WHEN 2 THEN 401 WHEN 3 THEN 403 ELSE 60 END::INT AS code FROM arts)
+SELECT code, count(*) AS n, count(*) FILTER (code = 60) AS hashes FROM p GROUP BY code"""
+)
 def wire_parse(spark, sf_dir):
     i = c("seq") % 10
     bad = F.when(i == 0, F.concat("line", F.lit(" more"))).when(i == 1, F.concat(F.lit("ADD 0 "), F.substring_index("line", " ", -5))).when(i == 2, F.lit("ADD")).otherwise(c("line"))

@@ -120,3 +120,11 @@ def test_wire_round_trip(spark):
     got = wire.parsed(wire.encoded(arts)).select(*S.ARTICLE.names).collect()
     assert sorted(got) == sorted(arts.select(*S.ARTICLE.names).collect())
     assert all(re.fullmatch(r"ADD [0-9a-f]{1,8} [0-9a-f]{64} F \d+ \d+ \d+", r.line) for r in wire.encoded(arts).collect())
+
+
+def test_hex_offsets_of_64_bits(spark):
+    from msgledger.functions import codec
+
+    rows = [("7fffffffffffffff,-8000000000000000,0010,", [2**63 - 1, -(2**63), 16], True), ("8000000000000000,1,", [], False), ("1,10000000000000000,", [1], False)]
+    got = spark.createDataFrame([(r[0],) for r in rows], "t string").select("t", codec.from_hex_list(F.col("t")).alias("d")).collect()
+    assert [(r.t, r.d.offsets, r.d.ok) for r in got] == rows

@@ -182,3 +182,53 @@ def test_lines_after_their_records(logged):
     rows = logged.orderBy("seq").collect()
     assert all(b.offset - a.offset == len(a.line.encode()) + 1 for a, b in zip(rows, rows[1:], strict=False))
     assert logged.select(codec.line_hash(F.col("line")).alias("h"), "hash").where("h <> hash OR h IS NULL").count() == 0
+
+
+def test_time_to_live_of_any_key(spark):
+    from msgledger import schema as S
+    from msgledger.operators import ttl
+
+    a, b = "a" * 64, "b" * 64
+    rows = [(1, a, 0, 7), (2, a, 4_999_999, 8), (3, a, 5_000_000, 9), (4, a, 5_000_000, 1), (5, b, 1, 2), (6, "", 3, 3), (7, None, 3, 3), (8, b, None, 3), (9, a, 9_999_999, 4), (10, a, 10_000_000, 5)]
+    df = spark.createDataFrame(rows, "seq bigint, key string, micros bigint, value int")
+    assert {r.seq: r.answer for r in ttl.answers(df).collect()} == {1: S.PASS, 2: 7, 3: S.PASS, 4: 9, 5: S.PASS, 6: S.INVALID, 7: S.INVALID, 8: S.ERROR, 9: 9, 10: S.PASS}
+    assert {r.seq: r.answer for r in ttl.extended(df).collect()} == {1: S.PASS, 2: 7, 3: 7, 4: 7, 5: S.PASS, 6: S.INVALID, 7: S.INVALID, 8: S.ERROR, 9: 7, 10: 7}
+    assert sorted(r.seq for r in ttl.admitted(df).collect()) == [1, 3, 5, 6, 10]  # an empty key is a key to it
+    assert ttl.answers(df.limit(0)).count() == ttl.extended(df.limit(0)).count() == 0
+
+
+def test_cached_values_live_their_time(spark):
+    from pyspark.sql import functions as F
+
+    from msgledger.operators import ttl
+
+    sets = spark.createDataFrame([(1, 10, 0, "x"), (2, 10, 3, "y"), (3, 10, 6, "z"), (4, 20, 5, "w")], "seq bigint, key bigint, micros bigint, hash string")
+    gets = spark.createDataFrame([(1, 10, -1), (2, 10, 0), (3, 10, 4), (4, 10, 5), (5, 10, 6), (6, 10, 11), (7, 20, 9), (8, 30, 1)], "seq bigint, key bigint, micros bigint")
+    first = {r.seq: r.value for r in ttl.cached_at(sets, gets, F.min_by("hash", F.struct("micros", "seq")), 5).collect()}
+    assert first == {1: None, 2: "x", 3: "x", 4: None, 5: "z", 6: None, 7: "w", 8: None}
+    every = {r.seq: sorted(r.value) for r in ttl.cached_at(sets, gets, F.collect_set("hash"), 5).collect()}
+    assert every[3] == ["x", "y"] and every[5] == ["z"] and every[4] == []
+
+
+def test_an_index_lookup_reads_one_directory(spark, sf_dir, tmp_path):
+    import re
+
+    from msgledger.operators import index
+    from msgledger.plans.queries import logged
+
+    index.write(index.build(logged(spark, sf_dir)), str(tmp_path / "ix"))
+    hash_ = logged(spark, sf_dir).first().hash
+    own = index.lookup(spark.read.parquet(str(tmp_path / "ix")), hash_)
+    assert own.count() == 1
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*pfx_hi", plan)
+
+
+def test_helper_columns_do_not_clash(spark):
+    from msgledger.operators import log
+
+    df = spark.createDataFrame([(i, "x" * i, i, i, i) for i in range(1, 30)], "seq bigint, line string, bytes int, bucket int, own int")
+    for bucket in (4, 100):
+        got = log.with_offsets(df, base=0, bucket=bucket).orderBy("seq").collect()
+        assert got[0].asDict().keys() == {*df.columns, "offset"}
+        assert [r.offset for r in got] == [sum(j + 1 for j in range(1, i)) for i in range(1, 30)]

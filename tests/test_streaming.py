@@ -90,3 +90,20 @@ def test_socket_source_is_declared(spark):
         out.stop()
         server.close()
     assert {r.code for r in spark.table("socket").collect()} <= {401}
+
+
+def test_state_of_ended_lives_goes(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    for i, rows in enumerate([[(k, f"{k:064x}", 1000, 3) for k in range(200)], [(900, "x", 60_000_000, 3)], [(901, "y", 120_000_000, 3)], [(902, f"{5:064x}", 120_000_001, 4), (903, f"{5:064x}", 120_000_002, 4)]]):
+        spark.createDataFrame(rows, "seq bigint, key string, micros bigint, value int").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        stream = spark.readStream.schema("seq bigint, key string, micros bigint, value int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        out = stream_ttl.answers(stream, 5_000_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        run(out)
+        left = [p["stateOperators"][0]["numRowsTotal"] for p in out.recentProgress if p["stateOperators"]]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert max(left) >= 200 > 20 > left[-1]
+    got = {r.seq: r.answer for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {**{k: 241 for k in range(200)}, 900: 241, 901: 241, 902: 241, 903: 4}
