@@ -6,6 +6,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ def read_tokenizer(path: str) -> str:
 
 
 class Lazy:
-    """A broadcast value that each Python worker builds once, when it first needs it."""
+    """A broadcast value that a task builds when it first needs it, and lets go of at its end: workers stay, and do other things next."""
 
     def __init__(self, make: Callable, raw: object):
         self.make, self.raw, self.built = make, raw, None
@@ -42,9 +43,12 @@ class Lazy:
 
     def get(self):
         if self.built is None:
-            self.built, self.raw = self.make(self.raw), None
+            self.built = self.make(self.raw)
         return self.built
 
+    def release(self) -> None:
+        self.built = None
+
 
 def _tokenizer(text: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -109,6 +113,7 @@ def head_table(docs: DataFrame, tokenizer: Broadcast) -> pa.Table:
         for b in batches:
             ids = _encode(tokenizer.value.get(), b.column(0).to_pylist())
             yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() if len(x) <= HEAD_IDS else None for x in ids], pa.binary())], names=["word", "n", "ids"])
+        tokenizer.value.release()
 
     chosen = words.where(F.col("level") >= least) if least is not None else words.limit(0)
     return map_arrow(chosen.select("word", "n"), encode, "word binary, n bigint, ids binary").where("ids IS NOT NULL").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
@@ -117,12 +122,16 @@ def head_table(docs: DataFrame, tokenizer: Broadcast) -> pa.Table:
 class _Head:
     def __init__(self, value: tuple[bytes, np.ndarray, bytes, np.ndarray]):
         text, ends, ids, id_ends = value
-        starts = np.concatenate(([0], ends))[:-1]
-        self.index = {text[lo:hi]: i for i, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))}
-        self.n = len(ends)
+        self.text, self.ends, self.n = text, ends, len(ends)
         self.ids = np.frombuffer(ids, np.int32)
         self.starts = np.concatenate(([0], id_ends)).astype(np.int64)
 
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        """Number of each word; for the tasks that split texts."""
+        starts = np.concatenate(([0], self.ends))[:-1]
+        return {self.text[lo:hi]: i for i, (lo, hi) in enumerate(zip(starts.tolist(), self.ends.tolist(), strict=True))}
+
 
 def _packed(t: pa.Table) -> tuple[bytes, np.ndarray, bytes, np.ndarray]:
     words, ids = t["word"].to_pylist(), t["ids"].to_pylist()
@@ -170,6 +179,7 @@ def encode(docs: DataFrame, tokenizer_json: str) -> DataFrame:
                     sizes.append(len(own))
                 yield number, b.column(0).slice(lo, CHUNK), sizes, at, list(rest)
                 number += 1
+        head.value.release()
 
     def check(rest: list[bytes]) -> int:
         return xxhash.xxh3_64_intdigest(b" ".join(rest)) >> 1
@@ -202,6 +212,9 @@ def encode(docs: DataFrame, tokenizer_json: str) -> DataFrame:
                 sizes.append(np.array([len(x) for x in own], np.int32).tobytes())
                 ids.append(back.compress(np.concatenate(own).astype(np.int32).tobytes()))
             yield pa.record_batch([b.column(1), b.column(2), b.column(3), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["number", "rest", "pos", "sizes", "ids"])
+            if len(known) > COUNTED:
+                known.clear()
+        tokenizer.value.release()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -224,6 +237,7 @@ def encode(docs: DataFrame, tokenizer_json: str) -> DataFrame:
                 word_ends = np.concatenate(([0], np.cumsum(lengths)))
                 ends = word_ends[np.concatenate(([0], np.cumsum(n_words)))]
                 yield pa.record_batch([b.column(1)[r].values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+        head.value.release()
 
     found = map_arrow(base, rare, "part int, number bigint, rest bigint, pos binary, words binary").repartitionById(parts, "part")
     found = map_arrow(found, encoded, "number bigint, rest bigint, pos binary, sizes binary, ids binary")

@@ -294,4 +294,4 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Dat
                 s = np.full(part.num_rows, base) if m is None else m.score([t or "" for t in part.column(at).to_pylist()])
                 yield pa.record_batch(part.filter(pa.array(s < THRESHOLD)).columns, names=names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
