@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from msgledger import schema as S
 from msgledger.functions import codec, routing
 from msgledger.operators import acl, caches, index, log, lookup, stats, ttl
-from msgledger.plans.views import ARTS, LINES, OFFERS, SECONDS, arts, events, index_sql, offers, table
+from msgledger.plans.views import ARTS, LINES, OFFERS, SECONDS, arts, crc_sql, events, index_sql, offers, table
 from msgledger.sources import logfile, wire
 from msgledger.streaming.ingest import Ledger
 
@@ -496,9 +496,11 @@ def l3_contains(spark, sf_dir):
     return appended(spark, sf_dir).select("key", latest.alias("value"), caches.contains(c("cached"), latest).alias("cached"))
 
 
-@query()
+@query(f"""WITH {OFFERS} SELECT hash[1:3] AS "key", array_to_string(list(seq ORDER BY CASE WHEN r <= h THEN r ELSE 2 * n - r END), ',') AS merged
+FROM (SELECT *, row_number() OVER (PARTITION BY hash[1:3] ORDER BY seq) AS r, count(*) OVER (PARTITION BY hash[1:3]) AS n, ceil(count(*) OVER (PARTITION BY hash[1:3]) / 2) AS h FROM offers) GROUP BY 1""")
 def l3_append_exact(spark, sf_dir):
-    return appended(spark, sf_dir).select("key", caches.append_offsets_stopping(c("cached"), c("new")).alias("merged"))
+    merged = caches.append_offsets_stopping(c("cached"), c("new"))
+    return appended(spark, sf_dir).select("key", F.array_join(merged.cast("array<string>"), ",").alias("merged"))
 
 
 @query(f'WITH {ARTS} SELECT seq, (seq & (seq - 1)) = 0 AS pow2 FROM arts')
@@ -530,7 +532,10 @@ def bulk_articles(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- wire, access, set operations
-@query()
+@query(
+    f"""WITH {ARTS}, f AS (SELECT seq, concat_ws(' ', hash, token, arrival, expires, date) AS fields FROM arts), {crc_sql("seq, fields", "fields", "f")}
+SELECT seq, 'ADD ' || crc || ' ' || fields AS line FROM crcs"""
+)
 def wire_encode(spark, sf_dir):
     return wire.encoded(arts(spark, sf_dir)).select("seq", "line")
 
@@ -548,7 +553,7 @@ def wire_parse(spark, sf_dir):
     return wire.parsed(lines).groupBy("code").agg(F.count("*").alias("n"), F.count("hash").alias("hashes"))
 
 
-@query()
+@query(f'WITH {crc_sql("doc_id", "text", "documents")} SELECT doc_id, crc FROM crcs')
 def crc_hex(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", codec.crc(c("text")).alias("crc"))
 

@@ -49,3 +49,10 @@ logged AS (SELECT *, (4096 + coalesce(sum(strlen(line) + 1) OVER (ORDER BY seq R
 
 def index_sql(name: str, source: str, width: int) -> str:
     return f"""{name} AS (SELECT hash[1:3] AS pfx, hash[4:{width}] AS "key", list("offset" ORDER BY "offset") AS offsets FROM {source} GROUP BY ALL)"""
+
+
+def crc_sql(key: str, text: str, source: str) -> str:
+    """A table ``crcs`` of ``key`` and the CRC-32 of ``text``, byte by byte, with the 256 remainders made by the polynomial's bits."""
+    return f"""remainders AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+crc_bytes AS (SELECT {key}, t, list_transform(regexp_extract_all(hex({text}), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM {source}, remainders),
+crcs AS (SELECT {key}, printf('%x', xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)) AS crc FROM crc_bytes)"""
