@@ -97,3 +97,25 @@ def test_entropy_of_every_window(spark):
     texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab1", "0123456789abcdef", "ABCdef+/_=-xyz0189") for n in (19, 20, 21, 60, 400)]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", secrets.window_entropy(F.col("s")).alias("e")).collect()
     assert all(abs(r.e - entropy(texts[r.i])) < 1e-9 for r in got)
+
+
+def test_single_case_class(spark):
+    rng = random.Random(12)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefg0123", "ABCD2345EFGHJK"]
+    texts = [" ".join("".join(rng.choice(a) for _ in range(rng.choice([20, 24, 32, 60]))) for _ in range(12)) + end for a in alphabets for end in ("", "\n", " secret=x")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = secrets.scan_secrets(docs).select("doc_id", secrets.span_text(F.col("base")).alias("base"), secrets.span_text(F.col("added")).alias("added")).collect()
+    found = 0
+    for r in rows:
+        taken = [tuple(map(int, x.split(":")[1:])) for x in r.base.split(",") if x]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", texts[r.doc_id]):
+            s = m[0]
+            if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or any(re.search(p, s) for p in secrets.ALLOWED):
+                continue
+            bits = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s) else 3.5 if re.fullmatch("[a-z0-9]+|[A-Z0-9]+", s) else 3.9
+            if entropy(s) >= bits and not any(a < m.end() and m.start() < b for a, b in taken):
+                want.append(f"entropy:{m.start()}:{m.end()}")
+        assert r.added == ",".join(want)
+        found += len(want)
+    assert found > 60
