@@ -84,8 +84,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of an Arrow batch, which the JVM and a worker each hold several times over; a longer row is a batch of its own.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow``; at its end a task gives the memory that it freed back to the machine, as its worker stays for other tasks."""
+    """``mapInArrow``; at its end a task gives the memory that it freed back to the machine, as its worker stays for other tasks.
+
+    Batches are bounded in bytes: where the session hasn't set the bound itself, it is set here, for the session, as it is read when the plan runs.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(batches)
