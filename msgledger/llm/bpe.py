@@ -271,14 +271,14 @@ def pieces(tokenizer_json: str) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
-def decode(encoded: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with ``out`` in place of ``ids``: the pieces of the ids, joined as the library joins those of a tokenizer without decoder.
+def decode(encoded: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "decoded", keep: bool = False) -> DataFrame:
+    """``encoded`` with ``out`` in place of ``ids``, or besides it (``keep``): the pieces of the ids, joined as the library joins those of a tokenizer without decoder.
 
     The piece table is broadcast (its size is the vocabulary's) and joined by id in each batch, where ids are the pieces' places. Null
     ids give null, no ids an empty text.
     """
     table = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer_json))
-    fields = [f for f in encoded.schema.fields if f.name != ids]
+    fields = [f for f in encoded.schema.fields if keep or f.name != ids]
     names = [f.name for f in fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` string"])
 
