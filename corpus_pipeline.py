@@ -58,8 +58,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     tokenizer = bpe.read_tokenizer(public_tokenizers.path(TOKENIZER))
     text = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    encoded = bpe.encode(docs, tokenizer).select("doc_id", "ids", F.col("ids").alias("token_ids"), F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"))
-    return bpe.decode(encoded, tokenizer).select("doc_id", "token_ids", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, tokenizer).select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"))
+    return bpe.decode(encoded, tokenizer, keep=True).select("doc_id", F.col("ids").alias("token_ids"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [
