@@ -19,31 +19,44 @@ def request_status(hash_: Column, offset: Column) -> Column:
     )
 
 
-def candidates(requests: DataFrame, index: DataFrame, width: int = ix.WIDTH) -> DataFrame:
-    """``requests`` with one row for each offset under their key; an inner equi-join on prefix and key."""
-    k = routing.full_key(F.col("hash"), width)
-    keyed = requests.withColumn("pfx", F.substring(k, 1, S.ROUTE_CHARS)).withColumn("key", F.substring(k, S.ROUTE_CHARS + 1, width))
-    return keyed.join(ix.entries(index), ["pfx", "key"])
+def _pfx(hash_: Column, width: int) -> Column:
+    return F.substring(routing.full_key(hash_, width), 1, S.ROUTE_CHARS)
+
+
+def _key(hash_: Column, width: int) -> Column:
+    return F.substring(routing.full_key(hash_, width), S.ROUTE_CHARS + 1, width)
+
+
+def _keyed(requests: DataFrame, width: int) -> DataFrame:
+    return requests.withColumn("pfx", _pfx(F.col("hash"), width)).withColumn("key", _key(F.col("hash"), width))
 
 
 def verified(requests: DataFrame, index: DataFrame, lines: DataFrame, width: int = ix.WIDTH) -> DataFrame:
     """``(seq, hash, status)``: dupes if any candidate's line has the whole hash, else pass.
 
-    ``requests(seq, hash)`` with distinct seq. A hit under the key alone is no duplicate. A single candidate whose line
-    is there but can't be read is answered retry; among several, such a one is skipped.
+    ``requests(seq, hash)``. A hit under the key alone is no duplicate. A single candidate whose line is there but can't
+    be read is answered retry; among several, such a one is skipped.
+
+    Each entry of the index reads its line once, and counts as a hit under the key of that line's hash alone; requests meet
+    hits by the hash. Requests times candidates, of which narrow keys have many, are never rows. Keys that are to be answered
+    retry are one row each.
     """
-    read = lines.select(F.col("offset").alias("_at"), codec.line_hash(F.col("line")).alias("_logged"), codec.line_is_bad(F.col("line")).alias("_bad"))
-    found = candidates(requests, index, width).join(read, F.col("offset") == F.col("_at"), "left")
-    per = found.groupBy("seq").agg(F.max((F.col("_logged") == F.col("hash")).cast("int")).alias("_hit"), F.count("*").alias("_n"), F.max(F.coalesce("_bad", F.lit(False)).cast("int")).alias("_unreadable"))
-    answer = F.when(F.col("_hit") == 1, S.DUPES).when((F.col("_n") == 1) & (F.col("_unreadable") == 1), S.RETRY).otherwise(S.PASS)
-    return requests.join(per.withColumnRenamed("seq", "_seq"), F.col("seq") == F.col("_seq"), "left").select("seq", "hash", answer.alias("status"))
+    entries = ix.entries(index)
+    logged = codec.line_hash(F.col("line"))
+    read = lines.select(F.col("offset").alias("_at"), logged.alias("_logged"), _pfx(logged, width).alias("_pfx"), _key(logged, width).alias("_key"))
+    hits = read.join(entries, (F.col("offset") == F.col("_at")) & (F.col("pfx") == F.col("_pfx")) & (F.col("key") == F.col("_key"))).select("_logged").distinct()
+    single = entries.groupBy(F.col("pfx").alias("_pfx"), F.col("key").alias("_key")).agg(F.count("*").alias("_n"), F.max("offset").alias("_only")).where("_n = 1")
+    unreadable = lines.where(codec.line_is_bad(F.col("line"))).select(F.col("offset").alias("_at"))
+    retry = single.join(unreadable, F.col("_only") == F.col("_at"), "left_semi").select("_pfx", "_key")
+    met = requests.select("seq", "hash").join(hits, F.col("hash") == F.col("_logged"), "left").select("seq", "hash", F.col("_logged").isNotNull().alias("_hit"))
+    both = _keyed(met, width).join(retry, (F.col("pfx") == F.col("_pfx")) & (F.col("key") == F.col("_key")), "left")
+    answer = F.when(F.col("_hit"), S.DUPES).when(F.col("_pfx").isNotNull(), S.RETRY).otherwise(S.PASS)
+    return both.select("seq", "hash", answer.alias("status"))
 
 
 def unverified(requests: DataFrame, index: DataFrame, width: int = ix.WIDTH) -> DataFrame:
     """Requests whose key is in the index, whatever the log says."""
-    k = routing.full_key(F.col("hash"), width)
-    keyed = requests.withColumn("pfx", F.substring(k, 1, S.ROUTE_CHARS)).withColumn("key", F.substring(k, S.ROUTE_CHARS + 1, width))
-    return keyed.join(index, ["pfx", "key"], "left_semi").drop("pfx", "key")
+    return _keyed(requests, width).join(index, ["pfx", "key"], "left_semi").drop("pfx", "key")
 
 
 def seen(requests: DataFrame, history: DataFrame) -> DataFrame:

@@ -67,6 +67,55 @@ def test_verified_lookup(spark, logged, width):
         assert lookup.unverified(logged.select("seq", "hash"), index.build(history, width), width).count() == 300
 
 
+def test_verified_lookup_makes_no_row_for_each_candidate(spark):
+    n = 20_000  # all under 16 keys: 1,250 candidates for each request
+    own = spark.range(n).select(F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("hash"), (F.col("id") + 1).alias("offset"))
+    lines = own.select("offset", F.concat(F.lit("{"), "hash", F.lit("}\t1~2~3\tF")).alias("line"))
+    df = lookup.verified(own.select("seq", "hash"), index.build(own, 1), lines, 1)
+    assert df.where("status = 28").count() == n
+    plan = df._jdf.queryExecution()
+    rows = [0]
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.metrics().contains("numOutputRows"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+        if "QueryStage" in name:
+            walk(node.plan())
+
+    plan.toRdd().count()
+    walk(plan.executedPlan())
+    assert n <= max(rows) <= 2 * n, max(rows)
+
+
+@pytest.mark.parametrize("width", [1, 3, 10])
+def test_verified_lookup_equals_a_loop(spark, width):
+    rng = random.Random(width)
+    hashes = [f"{rng.getrandbits(256):064x}" for _ in range(120)]
+    lines = [(i + 1, rng.choice(["{" + h + "}\t1~2~3\tF", "{" + h + "}\t1~2~3\tF", "broken", "{" + h[1:] + "}\tx", "", None])) for i, h in enumerate(hashes[:80])]
+    held = {}  # entries, also of offsets that the log lacks, none, and zero; two stand under a key that isn't their hash's
+    for i, h in enumerate(hashes[:60] + hashes[100:]):
+        held.setdefault(h[:width], []).append(i + 1)
+    held.setdefault(hashes[90][:width], []).extend([0, 1, 7])
+    held.setdefault("abcdefabcd"[:width], [0, -1])
+    asked = [(i, h) for i, h in enumerate([*hashes, None, "", "ab", hashes[0]])]
+    entries = [(k[:3], k[3:], v) for k, v in held.items()]
+    got = lookup.verified(spark.createDataFrame(asked, "seq bigint, hash string"), spark.createDataFrame(entries, S.INDEX_ROW), spark.createDataFrame(lines, S.LOG_LINE), width)
+    log_, want = dict(lines), {}
+    for seq, h in asked:
+        read = [(at in log_, log_.get(at) or "") for at in (held.get(h[:width], []) if h is not None else []) if at > 0]
+        hit = any(line.startswith("{" + h + "}\t") and len(h) == 64 for _, line in read)
+        want[seq] = S.DUPES if hit else S.RETRY if len(read) == 1 and read[0][0] and not (read[0][1].startswith("{") and "}\t" in read[0][1]) else S.PASS
+    rows = got.collect()
+    assert {r.seq: r.status for r in rows} == want and len(rows) == len(asked)
+    if width == 10:
+        assert {S.DUPES, S.RETRY, S.PASS} == set(want.values())
+
+
 def test_unreadable_candidates(spark):
     h = HASHES[0]
     lines = spark.createDataFrame([(4096, "broken"), (4200, "{" + h + "}\t1~2~3\tF"), (4300, "broken too")], S.LOG_LINE)
