@@ -43,9 +43,13 @@ def validate(articles: DataFrame, now: Column | None = None, normalise: bool = F
     return out.withColumn("arrival", F.when(F.coalesce(F.col("arrival"), F.lit(0)) == 0, now).otherwise(F.col("arrival")).cast("bigint"))
 
 
+def line() -> Column:
+    """An article's line, of its columns."""
+    return codec.line(*[F.col(x) for x in ("hash", "token", "arrival", "expires", "date")])
+
+
 def with_lines(articles: DataFrame) -> DataFrame:
-    c = F.col
-    return articles.withColumn("line", codec.line(c("hash"), c("token"), c("arrival"), c("expires"), c("date")))
+    return articles.withColumn("line", line())
 
 
 def _fresh(df: DataFrame, *names: str) -> list[str]:
@@ -60,15 +64,17 @@ def _fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def with_offsets(lines: DataFrame, order: str = "seq", base: int = S.FIRST_OFFSET, bucket: int = BUCKET) -> DataFrame:
+def with_offsets(lines: DataFrame, order: str = "seq", base: int = S.FIRST_OFFSET, bucket: int = BUCKET, line: Column | None = None) -> DataFrame:
     """``lines`` with the byte ``offset`` of each, in the order of a numeric column without repeats or nulls.
 
+    ``line``: what a line will be, for rows that don't hold theirs yet and are spared carrying it through the sort.
+
     Two phases instead of one window over all rows: quantiles of the order cut it into buckets of about
     ``bucket`` records, CUTS at most, each bucket sums its own lines, and the buckets' totals, one row each,
     are added up and broadcast. Nothing but the count and the quantiles reaches the driver.
     """
     size, to, own, at, start = _fresh(lines, "bytes", "bucket", "own", "at", "start")
-    sized = lines.withColumn(size, codec.line_bytes(F.col("line")))
+    sized = lines.withColumn(size, codec.line_bytes(F.col("line") if line is None else line))
     n = lines.count()
     parts = max(1, min(CUTS, -(-n // bucket)))
     before = lambda col, w: F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

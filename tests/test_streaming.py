@@ -57,6 +57,37 @@ def test_ingest_and_restart(spark, sf_dir, tmp_path):
     assert ledger.index().count() <= 792
 
 
+@pytest.mark.parametrize("few", [0, 100, 1_000_000])
+def test_a_batch_finds_what_is_new_once(spark, tmp_path, monkeypatch, few):
+    """Each row of a batch is deduplicated once, whatever its size; the log is the same by both ways."""
+    monkeypatch.setattr(ingest, "BROADCAST_HASHES", few)
+    monkeypatch.setattr(ingest.log.with_offsets, "__defaults__", tuple(50 if x == 250_000 else x for x in ingest.log.with_offsets.__defaults__))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    ledger, want = ingest.Ledger(spark, str(tmp_path / "ledger")), {}
+    for lo, hi in ((0, 400), (200, 900), (900, 900), (0, 900)):  # overlapping, empty, all again
+        rows = [(i, f"{i % 350 + i // 600 * 1000:064x}", "F", 1_700_000_000 + i, 0, 5) for i in range(lo, hi)]
+        batch = spark.createDataFrame(rows, "seq bigint, hash string, token string, arrival bigint, expires bigint, date bigint")
+        read.value = 0
+        ledger.append(batch.mapInArrow(counted, batch.schema))
+        assert read.value <= 3 * len(rows)
+        for seq, h, *_ in rows:
+            want.setdefault(h, seq)
+    got = ledger.read().orderBy("offset").collect()
+    assert {r.hash: r.seq for r in got} == want and len(got) == len(want)
+    at = 4096
+    for r in got:
+        assert (r.offset, r.line[1:65]) == (at, r.hash)
+        at += len(r.line.encode()) + 1
+    assert ledger.next_offset() == at == ingest.Ledger(spark, ledger.path).next_offset()
+    assert [p.name for p in (tmp_path / "ledger").iterdir()] == ["log"]
+
+
 def test_rates_of_a_stream(spark, sf_dir, tmp_path):
     events(spark, sf_dir).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events(spark, sf_dir).schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 minute")
