@@ -11,7 +11,8 @@ from msgledger import schema as S
 # ---------------------------------------------------------------- log lines
 def stamp(seconds: Column) -> Column:
     """At least ten digits, zero padded; longer numbers aren't cut."""
-    return F.format_string("%010d", seconds)
+    digits = seconds.cast("string")  # far cheaper than a formatter, which is left what has a sign or is null
+    return F.when(seconds >= 0, F.lpad(digits, F.greatest(F.lit(10), F.length(digits)), F.lit("0"))).otherwise(F.format_string("%010d", seconds))
 
 
 def line(hash_: Column, token: Column, arrival: Column, expires: Column, date: Column) -> Column:
@@ -26,8 +27,7 @@ def line_bytes(text: Column) -> Column:
 
 def line_hash(text: Column) -> Column:
     """The hash between braces before the first tab; null unless it has 64 characters."""
-    found = F.regexp_extract(text, r"^\{([^}\t]*)\}\t", 1)
-    return F.when(F.length(found) == S.HASH_CHARS, found)
+    return F.get(F.regexp_extract_all(text, F.lit(rf"^\{{([^}}\t]{{{S.HASH_CHARS}}})\}}\t"), F.lit(1)), F.lit(0))
 
 
 def line_is_bad(text: Column) -> Column:

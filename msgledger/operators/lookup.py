@@ -31,24 +31,37 @@ def _keyed(requests: DataFrame, width: int) -> DataFrame:
     return requests.withColumn("pfx", _pfx(F.col("hash"), width)).withColumn("key", _key(F.col("hash"), width))
 
 
-def verified(requests: DataFrame, index: DataFrame, lines: DataFrame, width: int = ix.WIDTH) -> DataFrame:
+def verified(requests: DataFrame, index: DataFrame, lines: DataFrame, width: int = ix.WIDTH, hash_: Column | None = None, line: Column | None = None) -> DataFrame:
     """``(seq, hash, status)``: dupes if any candidate's line has the whole hash, else pass.
 
-    ``requests(seq, hash)``. A hit under the key alone is no duplicate. A single candidate whose line is there but can't
-    be read is answered retry; among several, such a one is skipped.
+    ``requests(seq, hash)``, ``lines(offset, line)``. A hit under the key alone is no duplicate. A single candidate whose
+    line is there but can't be read is answered retry; among several, such a one is skipped.
+
+    ``hash_``, ``line``: what a request's hash and a logged line are, for rows that don't hold theirs and are spared carrying
+    them between tasks. They are made of the rows' other columns, none of which begins with an underscore, on either side of an exchange, so
+    they have to be deterministic.
 
     Each entry of the index reads its line once, and counts as a hit under the key of that line's hash alone; requests meet
     hits by the hash. Requests times candidates, of which narrow keys have many, are never rows. Keys that are to be answered
     retry are one row each.
     """
-    entries = ix.entries(index)
-    logged = codec.line_hash(F.col("line"))
-    read = lines.select(F.col("offset").alias("_at"), logged.alias("_logged"), _pfx(logged, width).alias("_pfx"), _key(logged, width).alias("_key"))
-    hits = read.join(entries, (F.col("offset") == F.col("_at")) & (F.col("pfx") == F.col("_pfx")) & (F.col("key") == F.col("_key"))).select("_logged").distinct()
-    single = entries.groupBy(F.col("pfx").alias("_pfx"), F.col("key").alias("_key")).agg(F.count("*").alias("_n"), F.max("offset").alias("_only")).where("_n = 1")
-    unreadable = lines.where(codec.line_is_bad(F.col("line"))).select(F.col("offset").alias("_at"))
+    asked = F.col("hash") if hash_ is None else hash_
+    text = F.col("line") if line is None else line
+    # null keys equal no hash's; without them the filters of both joins are the same, and the index is made once
+    entries = ix.entries(index).toDF("_pfx", "_key", "_entry").where("_pfx IS NOT NULL AND _key IS NOT NULL")
+    logged = codec.line_hash(text)
+    read = lines.withColumn("_at", F.col("offset"))
+    if line is None:
+        read, logged = read.select("_at", logged.alias("_logged")), F.col("_logged")
+    # under coalesce the key isn't pulled out into the exchange and the sort, where it would be made of the line again
+    own = F.coalesce((F.length("_pfx") == min(S.ROUTE_CHARS, width)) & (routing.full_key(logged, width) == F.concat("_pfx", "_key")), F.lit(False))
+    found = read.join(entries, (F.col("_at") == F.col("_entry")) & own)
+    # lines that aren't carried can't be made distinct before they are dealt by the hash
+    hits = (found if line is None else found.repartition(logged)).select(logged.alias("_logged")).distinct()
+    single = entries.groupBy("_pfx", "_key").agg(F.count("*").alias("_n"), F.max("_entry").alias("_only")).where("_n = 1")
+    unreadable = lines.where(codec.line_is_bad(text)).select(F.col("offset").alias("_at"))
     retry = single.join(unreadable, F.col("_only") == F.col("_at"), "left_semi").select("_pfx", "_key")
-    met = requests.select("seq", "hash").join(hits, F.col("hash") == F.col("_logged"), "left").select("seq", "hash", F.col("_logged").isNotNull().alias("_hit"))
+    met = requests.join(hits, asked == F.col("_logged"), "left").select("seq", asked.alias("hash"), F.col("_logged").isNotNull().alias("_hit"))
     both = _keyed(met, width).join(retry, (F.col("pfx") == F.col("_pfx")) & (F.col("key") == F.col("_key")), "left")
     answer = F.when(F.col("_hit"), S.DUPES).when(F.col("_pfx").isNotNull(), S.RETRY).otherwise(S.PASS)
     return both.select("seq", "hash", answer.alias("status"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from msgledger import schema as S
 from msgledger.functions import codec, routing
 from msgledger.operators import acl, caches, index, log, lookup, stats, ttl
-from msgledger.plans.views import ARTS, LINES, OFFERS, SECONDS, arts, crc_sql, events, index_sql, offers, table
+from msgledger.plans.views import ARTS, LINES, OFFERS, SECONDS, arts, crc_sql, events, fields, index_sql, offers, stem_line, stems, table
 from msgledger.sources import logfile, wire
 from msgledger.streaming.ingest import Ledger
 
@@ -32,8 +32,16 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
+def placed_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's order and offsets; hashes and lines, most of its bytes, are made where they are used and not sorted.
+
+    For a line's length any hash will do, as all are of one length but the null of a null.
+    """
+    return log.with_offsets(stems(spark, sf_dir), line=stem_line(hash=F.when(c("seq").isNotNull(), "0" * S.HASH_CHARS)))
+
+
 def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.with_offsets(log.with_lines(arts(spark, sf_dir)))
+    return placed_stems(spark, sf_dir).select("seq", *[v.alias(k) for k, v in fields().items()], stem_line().alias("line"), "offset")
 
 
 def requests_and_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -206,9 +214,9 @@ HALF = f"{WITH_LOG}, history AS (SELECT * FROM logged WHERE seq % 2 = 0)"
 
 @query(f"{HALF} SELECT seq, hash, CASE WHEN EXISTS (FROM history h WHERE h.hash[1:3] = logged.hash[1:3] AND h.hash = logged.hash) THEN 28 ELSE 241 END::INT AS status FROM logged")
 def dup_lookup_verified(spark, sf_dir):
-    requests, history = requests_and_history(spark, sf_dir)
-    lines = history.select("offset", "line")  # the index is made of these too, so that the log is put in order once
-    return lookup.verified(requests, index.rebuild(lines, 3), lines, 3)
+    history = placed_stems(spark, sf_dir).where("seq % 2 = 0")  # the index is made of it too, so that the log is put in order once
+    hash_ = fields()["hash"]
+    return lookup.verified(stems(spark, sf_dir).select("seq"), index.build(history.select(hash_.alias("hash"), "offset"), 3), history, 3, hash_=hash_, line=stem_line())
 
 
 @query(f"{HALF} SELECT count(*) AS false_positives FROM logged WHERE hash NOT IN (SELECT hash FROM history) AND hash[1:3] IN (SELECT hash[1:3] FROM history)")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from msgledger.functions import codec
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,18 +22,32 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("event_id").alias("seq"), F.sha2(text, 256).alias("hash"), F.unix_seconds("ts").alias("arrival"))
 
 
-def arts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(seq, hash, token, arrival, expires, date)``: hashes are distinct; every third article never expires."""
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq, token, arrival)``: what the other fields of an article follow from."""
     token = F.when(F.col("event_type") == "error", "X").when(F.col("event_type") == "purchase", "M").otherwise("F")
-    arrival = F.unix_seconds("ts")
-    return events(spark, sf_dir).select(
-        F.col("event_id").alias("seq"),
-        F.sha2(F.col("event_id").cast("string"), 256).alias("hash"),
-        token.alias("token"),
-        arrival.alias("arrival"),
-        F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(arrival + 86400 * (F.col("event_id") % 90)).alias("expires"),
-        (arrival - 3600).alias("date"),
-    )
+    return events(spark, sf_dir).select(F.col("event_id").alias("seq"), token.alias("token"), F.unix_seconds("ts").alias("arrival"))
+
+
+def fields() -> dict[str, Column]:
+    """An article's fields, of the columns of its stem: hashes are distinct; every third article never expires."""
+    seq, arrival = F.col("seq"), F.col("arrival")
+    return {
+        "hash": F.sha2(seq.cast("string"), 256),
+        "token": F.col("token"),
+        "arrival": arrival,
+        "expires": F.when(seq % 3 == 0, F.lit(0).cast("bigint")).otherwise(arrival + 86400 * (seq % 90)),
+        "date": arrival - 3600,
+    }
+
+
+def stem_line(**other: Column) -> Column:
+    """The line of an article, of the columns of its stem, with other fields where given."""
+    return codec.line(*(fields() | other).values())
+
+
+def arts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq, hash, token, arrival, expires, date)``."""
+    return stems(spark, sf_dir).select("seq", *[v.alias(k) for k, v in fields().items()])
 
 
 SECONDS = "(epoch_us(ts) // 1000000)"

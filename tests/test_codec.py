@@ -128,3 +128,16 @@ def test_hex_offsets_of_64_bits(spark):
     rows = [("7fffffffffffffff,-8000000000000000,0010,", [2**63 - 1, -(2**63), 16], True), ("8000000000000000,1,", [], False), ("1,10000000000000000,", [1], False)]
     got = spark.createDataFrame([(r[0],) for r in rows], "t string").select("t", codec.from_hex_list(F.col("t")).alias("d")).collect()
     assert [(r.t, r.d.offsets, r.d.ok) for r in got] == rows
+
+
+def test_stamp_is_the_formatter(spark):
+    numbers = [None, 0, 5, -5, -12345678901, 9999999999, 10000000000, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x bigint").select(codec.stamp(F.col("x")).alias("got"), F.format_string("%010d", "x").alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_hash_of_odd_lines(spark):
+    h = HASHES[0]
+    texts = {None: None, "": None, "{" + h + "}\tx": h, "{" + h + "}\t{" + h + "}\t": h, "{" + h + "}": None, "{" + h + "0}\tx": None, "{" + h[1:] + "}\tx": None, " {" + h + "}\tx": None, "\n{" + h + "}\tx": None, "{" + "é😀" * 32 + "}\tx": "é😀" * 32, "{" + h[1:] + "\n}\tx": h[1:] + "\n"}
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(codec.line_hash(F.col("t")).alias("got")).collect()
+    assert [r.got for r in rows] == list(texts.values())

@@ -106,6 +106,55 @@ def test_counters_make_no_row_for_each_candidate(spark, sf_dir, tmp_path):
     assert {r.name: r.value for r in df.collect()} == {"dupes": n // 2, "pass": n // 2}
 
 
+def bytes_sent(df):
+    """Bytes that the exchanges of the plan write, after a run."""
+    plan = df._jdf.queryExecution()
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        own = node.metrics().apply("shuffleBytesWritten").value() if node.nodeName() == "Exchange" else 0
+        own += sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+        return own + (walk(node.plan()) if "QueryStage" in node.nodeName() else 0)
+
+    plan.toRdd().count()
+    return walk(plan.executedPlan())
+
+
+@pytest.mark.parametrize("name", ["counters", "dup_lookup_verified"])
+def test_lookup_sends_no_hashes(spark, sf_dir, tmp_path, name):
+    """Hashes are made of 8 bytes of a row, and carrying their 64 characters through each exchange takes most of the disk."""
+    from msgledger.plans.queries import QUERIES
+
+    own = events(spark, sf_dir)
+    n = own.count() * 40
+    own.crossJoin(spark.range(40)).withColumn("event_id", F.col("event_id") + 1000 * F.col("id")).drop("id").write.parquet(str(tmp_path / "events.parquet"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        assert 0 < bytes_sent(QUERIES[name](spark, str(tmp_path))) < 100 * n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("width", [1, 3, 10])
+def test_verified_lookup_of_rows_that_hold_no_hash(spark, width):
+    """The same answers where hashes and lines are made of other columns; of lines that stand twice, twice in the index, that are bad or null."""
+    rng = random.Random(width)
+    hashes = [f"{rng.getrandbits(256):064x}" for _ in range(60)]
+    texts = [rng.choice(["{" + h + "}\t1~2~3\tF", "{" + h + "}\t1~2~3\tF", "broken", "{" + h[1:] + "}\tx", "", None]) for h in hashes[:50]] + ["{" + hashes[0] + "}\tx"] * 3
+    lines = spark.createDataFrame(list(enumerate(texts, 1)), S.LOG_LINE)
+    keys = [(hashes[i % 50][:width], [i % 50 + 1]) for i in range(55)] + [(hashes[0][:width], [51, 52, 53, 0, 7, 99]), ("abcdefabcd"[:width], [2])]
+    held = {k: [x for j, v in keys if j == k for x in v] for k, _ in keys}
+    own = spark.createDataFrame([(k[:3], k[3:], v) for k, v in held.items()] + [(None, "", [3]), ("a", None, [4])], S.INDEX_ROW)
+    asked = spark.createDataFrame(list(enumerate([*hashes, None, "", "ab", hashes[0], hashes[0]])), "seq bigint, hash string")
+    want = lookup.verified(asked, own, lines, width).collect()
+    turned = lookup.verified(asked.select("seq", F.reverse("hash").alias("turned")), own, lines.select("offset", F.reverse("line").alias("turned")), width, hash_=F.reverse("turned"), line=F.reverse("turned"))
+    assert turned.columns == ["seq", "hash", "status"]
+    assert sorted(turned.collect(), key=lambda r: r.seq) == sorted(want, key=lambda r: r.seq) and len(want) == 65
+    assert {S.DUPES, S.PASS} <= {r.status for r in want}
+
+
 @pytest.mark.parametrize("width", [1, 3, 10])
 def test_verified_lookup_equals_a_loop(spark, width):
     rng = random.Random(width)
